@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from tessella.llm import mixing, sharding
+from tessella.llm import mixing, secrets, sharding, urls
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
+    "op3_secrets": secrets.op3_secrets,
+    "op8_urls": urls.op8_urls,
     "op9_sharding": sharding.op9_sharding,
 }
 
 ORACLE_SQL = {
     "op2_mixing": mixing.ORACLE,
+    "op3_secrets": secrets.ORACLE,
     "op9_sharding": sharding.ORACLE,
 }
