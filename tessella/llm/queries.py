@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tessella.llm import mixing, secrets, sharding, urls
+from tessella.llm import mixing, quality, secrets, sharding, urls
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
     "op3_secrets": secrets.op3_secrets,
+    "op4_quality": quality.op4_quality,
     "op8_urls": urls.op8_urls,
     "op9_sharding": sharding.op9_sharding,
 }
