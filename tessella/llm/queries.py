@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tessella.llm import html_extract, mixing, quality, secrets, sharding, urls
+from tessella.llm import html_extract, mixing, neardup, quality, secrets, sharding, urls
 
 QUERIES = {
     "op1_html": html_extract.op1_html,
     "op2_mixing": mixing.op2_mixing,
     "op3_secrets": secrets.op3_secrets,
     "op4_quality": quality.op4_quality,
+    "op5_neardup": neardup.op5_neardup,
     "op8_urls": urls.op8_urls,
     "op9_sharding": sharding.op9_sharding,
 }
