@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.llm import html_extract, mixing, neardup, quality, secrets, sharding, urls
+from tessella.llm import decontam, html_extract, mixing, neardup, quality, secrets, sharding, urls
 
 QUERIES = {
     "op1_html": html_extract.op1_html,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_secrets": secrets.op3_secrets,
     "op4_quality": quality.op4_quality,
     "op5_neardup": neardup.op5_neardup,
+    "op7_decontam": decontam.op7_decontam,
     "op8_urls": urls.op8_urls,
     "op9_sharding": sharding.op9_sharding,
 }
@@ -17,5 +18,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op2_mixing": mixing.ORACLE,
     "op3_secrets": secrets.ORACLE,
+    "op7_decontam": decontam.ORACLE,
     "op9_sharding": sharding.ORACLE,
 }
