@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.llm import decontam, html_extract, mixing, neardup, quality, secrets, sharding, urls
+from tessella.llm import decontam, html_extract, mixing, neardup, quality, secrets, sharding, spans, urls
 
 QUERIES = {
     "op1_html": html_extract.op1_html,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_secrets": secrets.op3_secrets,
     "op4_quality": quality.op4_quality,
     "op5_neardup": neardup.op5_neardup,
+    "op6_spans": spans.op6_spans,
     "op7_decontam": decontam.op7_decontam,
     "op8_urls": urls.op8_urls,
     "op9_sharding": sharding.op9_sharding,
