@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.llm import decontam, html_extract, mixing, neardup, quality, secrets, sharding, spans, urls
+from tessella.llm import decontam, html_extract, mixing, neardup, quality, secrets, sharding, spans, tokens, urls
 
 QUERIES = {
     "op1_html": html_extract.op1_html,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_decontam": decontam.op7_decontam,
     "op8_urls": urls.op8_urls,
     "op9_sharding": sharding.op9_sharding,
+    "op10_tokens": tokens.op10_tokens,
 }
 
 ORACLE_SQL = {
