@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import importlib
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessella.session import table
+
 Query = Callable[[SparkSession, str], DataFrame]
+MODULES = ("relational", "aggregates", "windows", "timeseries", "scalars", "structured", "graphs", "vectors", "textsearch", "sketches", "changes", "streams", "misc")
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
@@ -25,8 +31,26 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
+def views(spark: SparkSession, sf_dir: str, text: str) -> None:
+    """Temporary views of the tables that a statement names."""
+    for t in TABLES:
+        if re.search(rf"\b{t}\b", text):
+            table(spark, sf_dir, t).createOrReplaceTempView(t)
+
+
+def statement(name: str, text: str, oracle: str | None = None) -> None:
+    """Register a Spark SQL statement; ``oracle`` where the ANSI text differs."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        views(spark, sf_dir, text)
+        return spark.sql(text)
+
+    query(name, oracle or text)(run)
+
+
 def _load() -> None:
-    from tessella.plans import relational  # noqa: F401
+    for m in MODULES:
+        importlib.import_module(f"tessella.plans.{m}")
 
 
 def queries() -> dict[str, Query]:
