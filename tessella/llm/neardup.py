@@ -5,11 +5,12 @@
    bits. Empty buckets borrow from a neighbour, so that short sets have full registers too.
 2. Texts with equal sets are one class; only its least document goes on.
 3. Registers are banded; documents that share a band's registers meet in a bucket. Every member is
-   compared with the bucket's least document. A collision-corrected estimate of the Jaccard
+   compared with the bucket's leader. A collision-corrected estimate of the Jaccard
    similarity drops what is far below the threshold, and the full sets confirm the rest.
 4. Buckets whose members are then still in several components hold pairs that nobody has compared: their
-   members are gathered in blocks, and blocks of different components are compared register by register.
-   A pair is looked at in its first shared band only. So no link is lost to step 3, no bucket has
+   members are gathered in blocks, and blocks of different components are compared register by register,
+   then set by set where registers agree. A pair is looked at in its first shared band only, and a pair of
+   blocks reports the links that connect it, not all. So no link is lost to step 3, no bucket has
    a cap, and members that are connected already are not compared again.
 5. Components of the confirmed links.
 
@@ -35,7 +36,9 @@ from tessella.llm.components import components
 
 REGISTERS, BANDS, ROWS = 256, 42, 6
 MANTISSA = 10
-BLOCK, LARGE = 32, 16
+BLOCK, BLOCK_SHINGLES, LARGE = 64, 250_000, 16
+#: A bucket's leader is the member whose id is least after this is put over it, in turns by band, so that a group has several leaders.
+_TURNS = (0, 0x2AF7_31C5_9D1B, 0x51D8_CE3A_62E4)
 #: Ids of texts to compare are broadcast up to this count (8 bytes each), and joined beyond it.
 BROADCAST_IDS = 500_000
 _U = np.uint64
@@ -127,62 +130,107 @@ class NearDuplicates:
 
         return full.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long").distinct()
 
-    def _left(self, met: DataFrame, comp: DataFrame, reps: DataFrame) -> DataFrame:
-        """Pairs of different components that share a bucket and that its least document hasn't settled."""
-        percent, least = self.percent, self.least_estimate
-        rest = met.filter("size > 2 and rep <> leader").select("key", "band", "rep")
-        rest = split_join(rest, comp.select(F.col("v").alias("rep"), "c"), "rep", "left").select("key", "band", "rep", F.coalesce("c", "rep").alias("comp"))
-        rest = materialize(rest, "rest")
-        per = rest.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
-        mixed = per.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum(F.when(F.col("m") < LARGE, F.col("m"))).alias("small")).filter("lo < hi").select("key", "small")
+    def _dealt(self, rest: DataFrame) -> DataFrame:
+        """(key, band, rep, comp, n) of buckets that hold several components, dealt into blocks of
+        about ``BLOCK`` members or ``BLOCK_SHINGLES`` shingles: tag, part."""
+        weight = F.lit(1 / BLOCK) + F.col("n") / BLOCK_SHINGLES
+        per = rest.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"), F.sum(weight).alias("w"))
+        mixed = per.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum(F.when(F.col("m") < LARGE, F.col("w"))).alias("small")).filter("lo < hi").select("key", "small")
         # a component with many members in a bucket has blocks of its own, which needn't meet each other
-        tags = split_join(per, mixed, "key").select("key", "comp", F.when(F.col("m") >= LARGE, F.col("comp")).alias("tag"), F.ceil(F.when(F.col("m") >= LARGE, F.col("m")).otherwise(F.col("small")) / BLOCK).alias("parts"))
-        tags = tags.withColumn("kc", F.xxhash64("key", "comp"))
-        rest = split_join(rest.withColumn("kc", F.xxhash64("key", "comp")), tags.select("kc", F.col("key").alias("k2"), F.col("comp").alias("c2"), "tag", "parts"), "kc").filter("key = k2 and comp = c2")
-        rest = rest.select("key", "band", "rep", "comp", "tag", F.pmod(F.xxhash64("rep"), F.col("parts")).alias("part"))
-        rest = split_join(rest, reps.select("rep", "n", "reg"), "rep")
-        blocks = rest.groupBy("key", "band", "tag", "part").agg(F.collect_list(F.struct("rep", "comp", "n", "reg")).alias("m"))
+        tags = split_join(per, mixed, "key").select("key", "comp", F.when(F.col("m") >= LARGE, F.col("comp")).alias("tag"), F.ceil(F.when(F.col("m") >= LARGE, F.col("w")).otherwise(F.col("small"))).alias("parts"))
+        tags = tags.select(F.xxhash64("key", "comp").alias("kc"), F.col("key").alias("k2"), F.col("comp").alias("c2"), "tag", "parts")
+        out = split_join(rest.withColumn("kc", F.xxhash64("key", "comp")), tags, "kc").filter("key = k2 and comp = c2")
+        return out.select("key", "band", "rep", "comp", "n", "tag", F.pmod(F.xxhash64("rep"), F.col("parts")).alias("part"))
+
+    def _meet(self, dealt: DataFrame, member: list[str]) -> DataFrame:
+        """Blocks of a bucket in pairs (and those of small components with themselves): band, xa, xb, ma, mb."""
+        blocks = dealt.groupBy("key", "band", "tag", "part").agg(F.collect_list(F.struct(*member)).alias("m"))
         blocks = materialize(blocks.withColumn("no", F.xxhash64("tag", "part")), "blocks")
         x = blocks.select("key", "band", F.col("tag").alias("ta"), F.col("no").alias("xa"), F.col("m").alias("ma"))
         y = blocks.select("key", F.col("tag").alias("tb"), F.col("no").alias("xb"), F.col("m").alias("mb"))
         meet = x.join(y, "key").filter("(xa < xb and not coalesce(ta = tb, false)) or (xa = xb and ta is null)")
+        return meet.select("key", "band", "xa", "xb", "ma", "mb")
 
-        def run(batches):
+    def _left(self, met: DataFrame, comp: DataFrame, reps: DataFrame, docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+        """Links between different components of a bucket that its leader hasn't settled.
+
+        Registers meet first, and name the members that have a candidate in another component at
+        all; then the texts of those meet, and each pair of blocks gives the links that
+        connect what it hasn't connected yet: fewer than it has members."""
+        k, percent, least = self.k, self.percent, self.least_estimate
+        rest = met.filter("size > 2 and rep <> leader").select("key", "band", "rep")
+        rest = split_join(rest, comp.select(F.col("v").alias("rep"), "c"), "rep", "left").select("key", "band", "rep", F.coalesce("c", "rep").alias("comp"))
+        rest = materialize(split_join(rest, reps.select("rep", "n"), "rep"), "rest")
+
+        def candidates(band: int, same_block: bool, ma: list, mb: list) -> tuple[np.ndarray, ...]:
+            """Members i of one block and j of the other to compare, the likeliest first."""
+            ia, ca, na, ra = _unpack(ma)
+            ib, cb, nb, rb = _unpack(mb)
+            same = ra[:, None, :] == rb[None, :, :]
+            ok = ca[:, None] != cb[None, :]
+            if same_block:
+                ok &= ia[:, None] < ib[None, :]
+            ok &= 100 * np.minimum(na[:, None], nb[None, :]) >= percent * np.maximum(na[:, None], nb[None, :])
+            guess = estimate(same.sum(-1), na[:, None], nb[None, :])
+            i, j = np.nonzero(ok & (guess >= least))
+            first = same[i, j][:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).all(-1).argmax(1) == band
+            i, j = i[first], j[first]
+            order = np.argsort(-guess[i, j], kind="stable")
+            return i[order], j[order]
+
+        def members(batches):
             for batch in batches:
-                out_a, out_b = [], []
-                for band, xa, xb, ma, mb in zip(*(batch.column(c).to_pylist() for c in ("band", "xa", "xb", "ma", "mb"))):
-                    ia, ca, na, ra = _unpack(ma)
-                    ib, cb, nb, rb = _unpack(mb)
-                    same = ra[:, None, :] == rb[None, :, :]
-                    ok = ca[:, None] != cb[None, :]
-                    if xa == xb:
-                        ok &= ia[:, None] < ib[None, :]
-                    ok &= 100 * np.minimum(na[:, None], nb[None, :]) >= percent * np.maximum(na[:, None], nb[None, :])
-                    ok &= estimate(same.sum(-1), na[:, None], nb[None, :]) >= least
-                    if not ok.any():
-                        continue
-                    i, j = np.nonzero(ok)
-                    shared = same[i, j][:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).all(-1)
-                    first = shared.argmax(1) == band
-                    out_a.append(ia[i[first]]), out_b.append(ib[j[first]])
-                a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (out_a, out_b))
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                keys, out = [], []
+                for key, band, xa, xb, ma, mb in zip(*(c.to_pylist() for c in batch.columns)):
+                    i, j = candidates(band, xa == xb, ma, mb)
+                    for m, at in ((ma, np.unique(i)), (mb, np.unique(j))):
+                        keys += [key] * len(at)
+                        out += [m[x]["rep"] for x in at]
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.int64())], names=["key", "rep"])
+
+        sketched = split_join(self._dealt(rest), reps.select("rep", "reg"), "rep")
+        some = self._meet(sketched, ["rep", "comp", "n", "reg"]).mapInArrow(members, "key long, rep long").distinct()
+        some = materialize(some.withColumn("kr", F.xxhash64("key", "rep")), "close")
+        fewer = materialize(split_join(rest.withColumn("kr", F.xxhash64("key", "rep")), some.select("kr").distinct(), "kr").drop("kr"), "fewer")
+        texts = self._texts(some.select(F.col("rep").alias("id")).distinct(), docs, text, doc_id).withColumnRenamed("id", "rep")
+        full = split_join(split_join(self._dealt(fewer), reps.select("rep", "reg"), "rep"), texts, "rep")
+
+        def links(batches):
+            for batch in batches:
+                a_out, b_out = [], []
+                for _, band, xa, xb, ma, mb in zip(*(c.to_pylist() for c in batch.columns)):
+                    up: dict[int, int] = {}
+                    sets: dict[tuple, np.ndarray] = {}
+                    for i, j in zip(*candidates(band, xa == xb, ma, mb)):
+                        ca, cb = _root(up, ma[i]["comp"]), _root(up, mb[j]["comp"])
+                        if ca == cb:
+                            continue
+                        for side, m, x in ((0, ma, i), (1, mb, j)):
+                            if (side, x) not in sets:
+                                sets[side, x] = textvec.shingles(m[x]["text"].encode(), k)
+                        if _similar(sets[0, i], sets[1, j], percent):
+                            up[ca] = cb
+                            a_out.append(ma[i]["rep"]), b_out.append(mb[j]["rep"])
+                yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
 
-        return meet.select("band", "xa", "xb", "ma", "mb").mapInArrow(run, "a long, b long")
+        return materialize(self._meet(full, ["rep", "comp", "n", "reg", "text"]).mapInArrow(links, "a long, b long"), "more")
 
     # -- confirmation ------------------------------------------------------------------------
 
+    def _texts(self, ids: DataFrame, docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+        """(id, text) of the ids, which are broadcast only after they are counted."""
+        ids = materialize(ids, "ids")
+        if ids.count() <= BROADCAST_IDS:
+            ids = F.broadcast(ids)
+        texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).join(ids, "id", "left_semi")
+        return materialize(texts.dropDuplicates(["id", "text"]), "texts")
+
     def _confirm(self, pairs: DataFrame, docs: DataFrame, text: str, doc_id: str) -> DataFrame:
         """Pairs whose full sets are similar enough. Texts travel, as they are smaller than sets:
         each once for every part of up to about 64 partners, and then each partner's."""
         k, percent = self.k, self.percent
         pairs = materialize(pairs, "pairs")
-        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        ids = materialize(ids, "ids")
-        if ids.count() <= BROADCAST_IDS:
-            ids = F.broadcast(ids)
-        texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).join(ids, "id", "left_semi")
-        texts = materialize(texts.dropDuplicates(["id", "text"]), "texts")
+        texts = self._texts(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), docs, text, doc_id)
         degree = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / 64).alias("parts"))
         dealt = split_join(pairs, degree, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
         dealt = materialize(dealt, "dealt")
@@ -201,11 +249,8 @@ class NearDuplicates:
                         sets.append(textvec.shingles(t, k))
                         continue
                     h = textvec.shingles(t, k)
-                    for s in sets:
-                        both = len(s) + len(h) - len(np.union1d(s, h))
-                        if 100 * both >= percent * (len(s) + len(h) - both) and both:
-                            a_out.append(a), b_out.append(b)
-                            break
+                    if any(_similar(s, h, percent) for s in sets):
+                        a_out.append(a), b_out.append(b)
                 yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
 
         return materialize(rows.mapInArrow(run, "a long, b long"), "confirmed")
@@ -221,11 +266,13 @@ class NearDuplicates:
         reps = materialize(reps.select(F.col("id").alias("rep"), "n", "reg").dropDuplicates(["rep", "reg"]), "reps")
         keys = F.array(*[F.xxhash64(F.lit(j), F.substring("reg", 2 * ROWS * j + 1, 2 * ROWS)) for j in range(BANDS)])
         banded = reps.select("rep", F.posexplode(keys).alias("band", "key"))
-        held = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("leader")).filter("size > 1")
-        met = materialize(split_join(banded, held, "key"), "met")
-        first = met.filter("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
+        banded = banded.withColumn("turn", F.element_at(F.array(*[F.lit(x).cast("long") for x in _TURNS]), F.pmod("band", F.lit(len(_TURNS))) + 1))
+        held = banded.groupBy("key", F.col("band").alias("band2")).agg(F.count(F.lit(1)).alias("size"), F.min(F.col("rep").bitwiseXOR(F.col("turn"))).alias("least")).filter("size > 1")
+        met = split_join(banded, held, "key").filter("band = band2").withColumn("leader", F.col("least").bitwiseXOR(F.col("turn")))
+        met = materialize(met.select("key", "band", "rep", "size", "leader"), "met")
+        first = met.filter("rep <> leader").select(F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b")).distinct()
         links = self._confirm(self._close(first, reps), docs, text, doc_id)
-        more = self._confirm(self._left(met, components(links), reps), docs, text, doc_id)
+        more = self._left(met, components(links), reps, docs, text, doc_id)
         comp = components(links.unionByName(more))
         named = sets.join(comp.withColumnRenamed("v", "rep"), "rep", "left").select("f1", F.col("f2").alias("g2"), F.coalesce("c", "rep").alias("component"))
         found = split_join(rows.filter("n > 0 and id is not null"), named, "f1").filter("f2 = g2")
@@ -240,6 +287,17 @@ class NearDuplicates:
         return one.unionByName(docs.filter(F.col(doc_id).isNull()))
 
 
+def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    both = len(a) + len(b) - len(np.union1d(a, b))
+    return bool(both) and 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def _root(up: dict[int, int], c: int) -> int:
+    while c in up:
+        c = up[c]
+    return c
+
+
 def _unpack(members):
     reg = np.frombuffer(b"".join(m["reg"] for m in members), np.uint16).reshape(-1, REGISTERS)
     return (*(np.array([m[c] for m in members], np.int64) for c in ("rep", "comp", "n")), reg)
