@@ -36,7 +36,7 @@ from tessella.llm.components import components
 
 REGISTERS, BANDS, ROWS = 256, 42, 6
 MANTISSA = 10
-BLOCK, BLOCK_SHINGLES, LARGE = 64, 250_000, 16
+BLOCK, BLOCK_SHINGLES, LARGE = 256, 500_000, 32
 #: A bucket's leader is the member whose id is least after this is put over it, in turns by band, so that a group has several leaders.
 _TURNS = (0, 0x2AF7_31C5_9D1B, 0x51D8_CE3A_62E4)
 #: Ids of texts to compare are broadcast up to this count (8 bytes each), and joined beyond it.
@@ -151,6 +151,25 @@ class NearDuplicates:
         meet = x.join(y, "key").filter("(xa < xb and not coalesce(ta = tb, false)) or (xa = xb and ta is null)")
         return meet.select("key", "band", "xa", "xb", "ma", "mb")
 
+    def _not_lonely(self, rest: DataFrame, docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+        """Memberships of buckets with several components, but for those of sets of which too many
+        shingles are in no other set: what is left of such a set can't be similar to anything."""
+        k, percent = self.k, self.percent
+        mixed = rest.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
+        rest = materialize(split_join(rest, mixed, "key"), "mixed")
+        texts = self._texts(rest.select(F.col("rep").alias("id")).distinct(), docs, text, doc_id)
+
+        def each(batches):
+            for batch in batches:
+                for i, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
+                    h = textvec.shingles(t, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), i, np.int64))], names=["h", "id"])
+
+        once = texts.mapInArrow(each, "h long, id long").groupBy("h").agg(F.min("id").alias("rep"), F.max("id").alias("last")).filter("rep = last")
+        own = once.groupBy("rep").agg(F.count(F.lit(1)).alias("own"))
+        kept = split_join(rest, own, "rep", "left").filter(100 * (F.col("n") - F.coalesce("own", F.lit(0))) >= percent * F.col("n"))
+        return materialize(kept.select("key", "band", "rep", "comp", "n"), "rest")
+
     def _left(self, met: DataFrame, comp: DataFrame, reps: DataFrame, docs: DataFrame, text: str, doc_id: str) -> DataFrame:
         """Links between different components of a bucket that its leader hasn't settled.
 
@@ -166,34 +185,21 @@ class NearDuplicates:
             """Members i of one block and j of the other to compare, the likeliest first."""
             ia, ca, na, ra = _unpack(ma)
             ib, cb, nb, rb = _unpack(mb)
-            same = ra[:, None, :] == rb[None, :, :]
             ok = ca[:, None] != cb[None, :]
             if same_block:
                 ok &= ia[:, None] < ib[None, :]
             ok &= 100 * np.minimum(na[:, None], nb[None, :]) >= percent * np.maximum(na[:, None], nb[None, :])
-            guess = estimate(same.sum(-1), na[:, None], nb[None, :])
-            i, j = np.nonzero(ok & (guess >= least))
-            first = same[i, j][:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).all(-1).argmax(1) == band
-            i, j = i[first], j[first]
-            order = np.argsort(-guess[i, j], kind="stable")
+            agree = np.bitwise_count((ra[:, None, :] == rb[None, :, :]).view(_U)).sum(-1, dtype=np.int64)
+            i, j = np.nonzero(ok & (agree >= least * REGISTERS))  # the correction only lowers an estimate
+            guess = estimate(agree[i, j], na[i], nb[j])
+            wa, wb = (_band_words(r)[:, :band] for r in (ra, rb))
+            good = (guess >= least) & ~(wa[i] == wb[j]).any(-1)  # no earlier band is shared
+            i, j, guess = i[good], j[good], guess[good]
+            order = np.argsort(-guess, kind="stable")
             return i[order], j[order]
 
-        def members(batches):
-            for batch in batches:
-                keys, out = [], []
-                for key, band, xa, xb, ma, mb in zip(*(c.to_pylist() for c in batch.columns)):
-                    i, j = candidates(band, xa == xb, ma, mb)
-                    for m, at in ((ma, np.unique(i)), (mb, np.unique(j))):
-                        keys += [key] * len(at)
-                        out += [m[x]["rep"] for x in at]
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.int64())], names=["key", "rep"])
-
-        sketched = split_join(self._dealt(rest), reps.select("rep", "reg"), "rep")
-        some = self._meet(sketched, ["rep", "comp", "n", "reg"]).mapInArrow(members, "key long, rep long").distinct()
-        some = materialize(some.withColumn("kr", F.xxhash64("key", "rep")), "close")
-        fewer = materialize(split_join(rest.withColumn("kr", F.xxhash64("key", "rep")), some.select("kr").distinct(), "kr").drop("kr"), "fewer")
-        texts = self._texts(some.select(F.col("rep").alias("id")).distinct(), docs, text, doc_id).withColumnRenamed("id", "rep")
-        full = split_join(split_join(self._dealt(fewer), reps.select("rep", "reg"), "rep"), texts, "rep")
+        rest = self._not_lonely(rest, docs, text, doc_id)
+        full = split_join(split_join(self._dealt(rest), reps.select("rep", "reg"), "rep"), self._texts(rest.select(F.col("rep").alias("id")).distinct(), docs, text, doc_id).withColumnRenamed("id", "rep"), "rep")
 
         def links(batches):
             for batch in batches:
@@ -298,6 +304,14 @@ def _root(up: dict[int, int], c: int) -> int:
     return c
 
 
+_WORD = textvec.mix(np.arange(1, ROWS + 1, dtype=_U)) | _U(1)
+
+
+def _band_words(reg: np.ndarray) -> np.ndarray:
+    """One number for the registers of each band."""
+    return (reg[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).astype(_U) * _WORD).sum(-1, dtype=_U)
+
+
 def _unpack(members):
     reg = np.frombuffer(b"".join(m["reg"] for m in members), np.uint16).reshape(-1, REGISTERS)
     return (*(np.array([m[c] for m in members], np.int64) for c in ("rep", "comp", "n")), reg)
