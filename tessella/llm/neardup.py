@@ -36,7 +36,7 @@ from tessella.llm.components import components
 
 REGISTERS, BANDS, ROWS = 256, 42, 6
 MANTISSA = 10
-BLOCK, BLOCK_SHINGLES, LARGE = 256, 500_000, 32
+BLOCK, BLOCK_SHINGLES, LARGE, SPREAD = 256, 500_000, 32, 4
 #: A bucket's leader is the member whose id is least after this is put over it, in turns by band, so that a group has several leaders.
 _TURNS = (0, 0x2AF7_31C5_9D1B, 0x51D8_CE3A_62E4)
 #: Ids of texts to compare are broadcast up to this count (8 bytes each), and joined beyond it.
@@ -135,20 +135,22 @@ class NearDuplicates:
         about ``BLOCK`` members or ``BLOCK_SHINGLES`` shingles: tag, part."""
         weight = F.lit(1 / BLOCK) + F.col("n") / BLOCK_SHINGLES
         per = rest.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"), F.sum(weight).alias("w"))
-        mixed = per.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum(F.when(F.col("m") < LARGE, F.col("w"))).alias("small")).filter("lo < hi").select("key", "small")
+        mixed = per.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum(F.when(F.col("m") < LARGE, F.col("w"))).alias("small"), F.sum(F.when(F.col("m") >= LARGE, F.ceil("w"))).alias("large")).filter("lo < hi")
+        mixed = mixed.select("key", "small", F.ceil((F.ceil(F.coalesce("small", F.lit(0.0))) + F.coalesce("large", F.lit(0))) / SPREAD).cast("int").alias("spread"))
         # a component with many members in a bucket has blocks of its own, which needn't meet each other
-        tags = split_join(per, mixed, "key").select("key", "comp", F.when(F.col("m") >= LARGE, F.col("comp")).alias("tag"), F.ceil(F.when(F.col("m") >= LARGE, F.col("w")).otherwise(F.col("small"))).alias("parts"))
-        tags = tags.select(F.xxhash64("key", "comp").alias("kc"), F.col("key").alias("k2"), F.col("comp").alias("c2"), "tag", "parts")
+        tags = split_join(per, mixed, "key").select("key", "comp", F.when(F.col("m") >= LARGE, F.col("comp")).alias("tag"), F.ceil(F.when(F.col("m") >= LARGE, F.col("w")).otherwise(F.col("small"))).alias("parts"), "spread")
+        tags = tags.select(F.xxhash64("key", "comp").alias("kc"), F.col("key").alias("k2"), F.col("comp").alias("c2"), "tag", "parts", "spread")
         out = split_join(rest.withColumn("kc", F.xxhash64("key", "comp")), tags, "kc").filter("key = k2 and comp = c2")
-        return out.select("key", "band", "rep", "comp", "n", "tag", F.pmod(F.xxhash64("rep"), F.col("parts")).alias("part"))
+        return out.select("key", "band", "rep", "comp", "n", "tag", F.pmod(F.xxhash64("rep"), F.col("parts")).alias("part"), "spread")
 
     def _meet(self, dealt: DataFrame, member: list[str]) -> DataFrame:
         """Blocks of a bucket in pairs (and those of small components with themselves): band, xa, xb, ma, mb."""
-        blocks = dealt.groupBy("key", "band", "tag", "part").agg(F.collect_list(F.struct(*member)).alias("m"))
+        blocks = dealt.groupBy("key", "band", "tag", "part", "spread").agg(F.collect_list(F.struct(*member)).alias("m"))
         blocks = materialize(blocks.withColumn("no", F.xxhash64("tag", "part")), "blocks")
-        x = blocks.select("key", "band", F.col("tag").alias("ta"), F.col("no").alias("xa"), F.col("m").alias("ma"))
-        y = blocks.select("key", F.col("tag").alias("tb"), F.col("no").alias("xb"), F.col("m").alias("mb"))
-        meet = x.join(y, "key").filter("(xa < xb and not coalesce(ta = tb, false)) or (xa = xb and ta is null)")
+        # a bucket of many blocks is spread over tasks: about SPREAD of its blocks meet all of them in one
+        x = blocks.select("key", F.pmod("no", "spread").cast("int").alias("salt"), "band", F.col("tag").alias("ta"), F.col("no").alias("xa"), F.col("m").alias("ma"))
+        y = blocks.select("key", F.explode(F.sequence(F.lit(0), F.col("spread") - 1)).alias("salt"), F.col("tag").alias("tb"), F.col("no").alias("xb"), F.col("m").alias("mb"))
+        meet = x.repartition("key", "salt").join(y.repartition("key", "salt"), ["key", "salt"]).filter("(xa < xb and not coalesce(ta = tb, false)) or (xa = xb and ta is null)")
         return meet.select("key", "band", "xa", "xb", "ma", "mb")
 
     def _not_lonely(self, rest: DataFrame, docs: DataFrame, text: str, doc_id: str) -> DataFrame:
@@ -206,15 +208,11 @@ class NearDuplicates:
                 a_out, b_out = [], []
                 for _, band, xa, xb, ma, mb in zip(*(c.to_pylist() for c in batch.columns)):
                     up: dict[int, int] = {}
-                    sets: dict[tuple, np.ndarray] = {}
                     for i, j in zip(*candidates(band, xa == xb, ma, mb)):
                         ca, cb = _root(up, ma[i]["comp"]), _root(up, mb[j]["comp"])
                         if ca == cb:
                             continue
-                        for side, m, x in ((0, ma, i), (1, mb, j)):
-                            if (side, x) not in sets:
-                                sets[side, x] = textvec.shingles(m[x]["text"].encode(), k)
-                        if _similar(sets[0, i], sets[1, j], percent):
+                        if _similar(_set(ma[i]["text"], k), _set(mb[j]["text"], k), percent):
                             up[ca] = cb
                             a_out.append(ma[i]["rep"]), b_out.append(mb[j]["rep"])
                 yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
@@ -298,6 +296,23 @@ def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return bool(both) and 100 * both >= percent * (len(a) + len(b) - both)
 
 
+_sets: dict[tuple[int, str], np.ndarray] = {}
+_held = [0]
+
+
+def _set(text: str, k: int) -> np.ndarray:
+    """The shingles of a text. A worker keeps those it had last, up to 2 million shingles, as a text meets many others."""
+    h = _sets.get((k, text))
+    if h is None:
+        h = textvec.shingles(text.encode(), k)
+        if _held[0] + len(h) > 2_000_000:
+            _sets.clear()
+            _held[0] = 0
+        _sets[k, text] = h
+        _held[0] += len(h)
+    return h
+
+
 def _root(up: dict[int, int], c: int) -> int:
     while c in up:
         c = up[c]
