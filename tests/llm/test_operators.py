@@ -191,6 +191,23 @@ def test_neardup_large_group(spark):
     assert got == {i: find(i) for i in range(len(sets))}
 
 
+@pytest.mark.parametrize("k,percent", [(3, 85), (5, 80)])
+def test_neardup_small_sets(spark, k, percent):
+    """Pairs of short texts around the limit, and one on each side of the sizes that need no registers, by brute force."""
+    r, texts, want = random.Random(11), [], {}
+    for g in range(900):
+        n = [7, 8, 10, 15, 19, 24, 40, 60][g % 8] if g % 30 else r.randint(300, 370)
+        w = [f"{r.choice(VOCAB)}{g}" for _ in range(n + k - 1)]
+        at = 0 if g % 3 else len(w)
+        more = [f"new{g}x{i}" for i in range(max(1, round(n * (0.17 if percent == 85 else 0.24)) - g % 2))]
+        texts += [" ".join(w), " ".join(w[:at] + more + w[at:])]
+        a, b = (shingle_set(t, k) for t in texts[-2:])
+        want[2 * g], want[2 * g + 1] = 2 * g, 2 * g + (100 * len(a & b) < percent * len(a | b))
+    assert 400 < sum(want[i] != i for i in want) < 900
+    got = {x["doc_id"]: x["component_id"] for x in NearDuplicates(k, percent).classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_spans(docs, empty):
     out = {r["doc_id"]: r for r in spans.deduplicate(docs).collect()}
     assert out[0]["text"] is None and out[1]["text"] == ""
