@@ -1,14 +1,14 @@
 """Near-duplicates by HyperMinHash.
 
 1. Each text gives the set of its k-word shingles. The first bits of a shingle's hash choose
-   one of 256 buckets; a bucket stores for its least hash the count of leading zeros and ten mantissa
-   bits. Empty buckets borrow from a neighbour, so that short sets have full registers too.
+   one of 256 buckets; a bucket stores for its least hash the count of leading zeros and ten mantissa bits.
+   Few shingles would leave buckets empty, so a set of up to ``SMALL`` has a hash function of its own for each bucket,
+   under which every shingle falls into it: its registers are full and independent however short the text.
+   Sets a little larger have both kinds of registers, as they may be similar to a small one.
 2. Texts with equal sets are one class; only its least document goes on.
-3. Registers are banded; documents that share a band's registers meet in a bucket. Registers of few
-   shingles aren't independent, so pairs of which a set has up to ``SMALL`` meet by shingles instead: each set's
-   rarest, as many as two similar sets must have one in common (a prefix filter, which misses none). Every
-   member is compared with the bucket's leader. A collision-corrected estimate of the Jaccard similarity
-   drops what is far below the threshold, of larger sets only, and the full sets confirm the rest.
+3. Registers are banded; documents that share a band's registers meet in a bucket. Every member is
+   compared with the bucket's leader. A collision-corrected estimate of the Jaccard
+   similarity drops what is far below the threshold, and the full sets confirm the rest.
 4. Buckets whose members are then still in several components hold pairs that nobody has compared: their
    members are gathered in blocks, and blocks of different components are compared register by register,
    then set by set where registers agree. A pair is looked at in its first shared band only, and a pair of
@@ -16,15 +16,15 @@
    a cap, and members that are connected already are not compared again.
 5. Components of the confirmed links.
 
-Pairs with a set of up to ``SMALL`` shingles are all found. For two larger sets the registers count as independent
-(in simulations of 300 to 2,500 shingles the estimate spreads no wider than that): with 42 bands of 6 a pair of
-similarity 0.85 shares none with probability 2e-9, of 0.8 with 3e-6; the estimate errs by more than its margin
-of 5 standard deviations with less than 1e-6.
+With 42 bands of 6 independent registers a pair of similarity 0.85 shares none with probability 2e-9, of 0.8
+with 3e-6; the estimate errs by more than its margin of 6 standard deviations with less than 1e-7. Buckets of
+sets above ``SMALL`` hold three shingles and more on average, and the 5 % that are empty borrow.
 
 Defined results: null, empty or blank text has an empty set, links with nothing and is kept;
 a text of fewer than k words is one shingle; rows that repeat an id are one document; a row with a null id
 is linked with nothing, has no component and is kept; ties have no effect, as the least id
 is kept; an empty table gives an empty table. Other columns are not read by ``classes`` and stay in ``deduplicate``.
+Sets are sets of 64-bit hashes of shingles.
 """
 
 from __future__ import annotations
@@ -35,13 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import textvec
-from tessella.llm.common import materialize, split_join
+from tessella.llm.common import free_name, materialize, split_join
 from tessella.llm.components import components
 
 REGISTERS, BANDS, ROWS = 256, 42, 6
 MANTISSA = 10
-#: Pairs of which a set has up to so many shingles are found by shingles, without registers.
-SMALL = 320
+#: Sets of up to so many shingles have a hash function for each register instead of buckets.
+SMALL = 768
+MARGIN = 6
 BLOCK, BLOCK_SHINGLES, LARGE, SPREAD = 256, 500_000, 32, 4
 #: A bucket's leader is the member whose id is least after this is put over it, in turns by band, so that a group has several leaders.
 _TURNS = (0, 0x2AF7_31C5_9D1B, 0x51D8_CE3A_62E4)
@@ -52,6 +53,14 @@ _U = np.uint64
 _ORDER = np.array([j + BANDS * i for j in range(BANDS) for i in range(ROWS)] + list(range(BANDS * ROWS, REGISTERS)))
 _SIDE = textvec.mix(np.arange(REGISTERS, dtype=_U)) & _U(1)
 _MARK = (textvec.mix(np.arange(REGISTERS, dtype=_U) + _U(10_000)) & _U(0xFFFF)).astype(np.uint16)
+_FACTOR = (textvec.mix(np.arange(REGISTERS, dtype=_U) + _U(20_000)) >> _U(32)).astype(np.uint32) | np.uint32(1)
+
+
+def _packed(value: np.ndarray, bits: int) -> np.ndarray:
+    """Leading zeros of numbers below 2**bits, and mantissa bits behind their first one."""
+    part, exponent = np.frexp(value.astype(float))
+    zeros = np.where(part > 0, bits - exponent, 63)
+    return (zeros.astype(np.uint16) << np.uint16(MANTISSA)) | (np.maximum(part * 2 - 1, 0) * (1 << MANTISSA)).astype(np.uint16)
 
 
 def registers(h: np.ndarray) -> np.ndarray:
@@ -59,9 +68,7 @@ def registers(h: np.ndarray) -> np.ndarray:
     first = np.searchsorted(h, np.arange(REGISTERS, dtype=_U) << _U(56))
     value = h[np.minimum(first, len(h) - 1)]
     full = (first < len(h)) & ((value >> _U(56)) == np.arange(REGISTERS, dtype=_U))
-    part, exponent = np.frexp(((value & _U((1 << 56) - 1)) >> _U(3)).astype(float))
-    zeros = np.where(part > 0, 53 - exponent, 63)
-    reg = (zeros.astype(np.uint16) << np.uint16(MANTISSA)) | (np.maximum(part * 2 - 1, 0) * (1 << MANTISSA)).astype(np.uint16)
+    reg = _packed((value & _U((1 << 56) - 1)) >> _U(3), 53)
     if not full.all():
         at = np.flatnonzero(full)
         place = np.searchsorted(at, np.arange(REGISTERS))
@@ -71,16 +78,26 @@ def registers(h: np.ndarray) -> np.ndarray:
     return reg[_ORDER]
 
 
-def expected_collisions(na, nb):
+def own_registers(h: np.ndarray) -> np.ndarray:
+    """Registers that each see the whole set, by a hash function of their own."""
+    x = (h >> _U(32)).astype(np.uint32)
+    least = np.full(REGISTERS, 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(x), 256):
+        np.minimum(least, (x[at : at + 256, None] * _FACTOR).min(0), out=least)
+    return _packed(least, 32)
+
+
+def expected_collisions(na, nb, own=False):
     """Chance that registers of two disjoint sets agree: equal zeros, then equal mantissas."""
-    la, lb = np.asarray(na, float)[..., None] / REGISTERS, np.asarray(nb, float)[..., None] / REGISTERS
+    share = np.where(own, 1, REGISTERS)
+    la, lb = (np.asarray(np.asarray(n, float) / share)[..., None] for n in (na, nb))
     z = np.arange(54)
     p = lambda lam: np.exp(-lam * 2.0 ** -(z + 1.0)) - np.exp(-lam * 2.0**-z)
     return (p(np.maximum(la, 1)) * p(np.maximum(lb, 1))).sum(-1) / (1 << MANTISSA)
 
 
-def estimate(agree, na, nb):
-    c = expected_collisions(na, nb)
+def estimate(agree, na, nb, own=False):
+    c = expected_collisions(na, nb, own)
     return (np.asarray(agree) / REGISTERS - c) / (1 - c)
 
 
@@ -90,7 +107,7 @@ class NearDuplicates:
     def __init__(self, k: int = 5, percent: int = 80) -> None:
         self.k, self.percent = k, percent
         t = percent / 100
-        self.least_estimate = t - 5 * (t * (1 - t) / REGISTERS) ** 0.5
+        self.least_estimate = t - MARGIN * (t * (1 - t) / REGISTERS) ** 0.5
         # a smaller set has no neighbour that isn't equal to it
         self.least = next(n for n in range(1, 10_000) if 100 * n >= percent * (n + 1)) if percent < 100 else 1 << 60
         # no set of up to SMALL shingles is similar to one of more than these
@@ -99,8 +116,8 @@ class NearDuplicates:
     # -- sketches ----------------------------------------------------------------------------
 
     def sketches(self, docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-        """id, n (size of the set), f1 and f2 (of the whole set), reg (registers; null up to SMALL)."""
-        k = self.k
+        """id, n (size of the set), f1 and f2 (of the whole set), reg (above SMALL) and own (up to ``wide``) registers."""
+        k, least, wide = self.k, self.least, self.wide
 
         def run(batches):
             for batch in batches:
@@ -108,64 +125,41 @@ class NearDuplicates:
                 for t in batch.column(1).cast(pa.binary()).to_pylist():
                     h = textvec.shingles(t, k)
                     n = len(h)
-                    f1 = _sum(h)
-                    f2 = np.add.reduce(textvec.mix(h + np.arange(1, n + 1, dtype=_U)), dtype=_U)
-                    out.append((n, int(f1.view(np.int64)), int(f2.view(np.int64)), registers(h).tobytes() if n > SMALL else None))
-                n, f1, f2, reg = zip(*out) if out else ((), (), (), ())
-                yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(reg, pa.binary())], names=["id", "n", "f1", "f2", "reg"])
+                    i = np.arange(1, n + 1, dtype=_U)
+                    f1 = np.add.reduce(h * (i | _U(1)), dtype=_U)
+                    f2 = np.add.reduce(textvec.mix(h + i), dtype=_U)
+                    reg = registers(h).tobytes() if n > SMALL else None
+                    own = own_registers(h).tobytes() if least <= n <= wide else None
+                    out.append((n, int(f1.view(np.int64)), int(f2.view(np.int64)), reg, own))
+                n, f1, f2, reg, own = zip(*out) if out else ((), (), (), (), ())
+                yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(reg, pa.binary()), pa.array(own, pa.binary())], names=["id", "n", "f1", "f2", "reg", "own"])
 
         source = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-        return source.mapInArrow(run, "id long, n long, f1 long, f2 long, reg binary")
+        return source.mapInArrow(run, "id long, n long, f1 long, f2 long, reg binary, own binary")
 
     # -- candidates --------------------------------------------------------------------------
 
-    def _by_shingles(self, reps: DataFrame, docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-        """(rep, band, key) of sets of up to ``wide`` shingles: keys are a set's first shingles, the
-        rarest first, as many as leave fewer than the similarity needs. Those in no other set count, but make no key."""
-        k, percent = self.k, self.percent
-        ids = materialize(reps.filter(F.col("n") <= self.wide).select(F.col("rep").alias("id"), "s"), "ids")
-        if ids.count() <= BROADCAST_IDS:
-            ids = F.broadcast(ids)
-        texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).join(ids, "id")
-
-        def run(batches):
-            for batch in batches:
-                h_out, n_out = [np.zeros(0, _U)], []
-                for t, s in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()):
-                    h = textvec.shingles(t, k)
-                    if int(_sum(h).view(np.int64)) != s:
-                        h = h[:0]  # another row of this id
-                    h_out.append(h), n_out.append(len(h))
-                each = lambda c: pa.array(np.repeat(batch.column(c).to_numpy(), n_out))
-                n = pa.array(np.repeat(n_out, n_out).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h_out).view(np.int64)), each(0), each(2), n], names=["h", "rep", "s", "n"])
-
-        rows = texts.select("id", "text", "s").mapInArrow(run, "h long, rep long, s long, n int")
-        often = rows.groupBy("h").agg(F.count(F.lit(1)).alias("f")).filter("f > 1")
-        shared = split_join(rows, often, "h")
-        per = shared.groupBy("rep", "s", "n").agg(F.sort_array(F.collect_set(F.struct("f", "h"))).alias("m"))
-        first = per.withColumn("p", F.expr(f"cast(n - ceil({percent} * n / 100.0BD) + 1 - (n - size(m)) as int)")).filter("p > 0")
-        keys = first.select("rep", F.explode(F.expr("slice(m, 1, p)")).alias("x")).select("rep", F.col("x.h").alias("h")).distinct()
-        return keys.select("rep", (F.lit(BANDS) + F.pmod("h", F.lit(len(_TURNS)))).cast("int").alias("band"), F.xxhash64(F.lit(BANDS), "h").alias("key"))
-
     def _close(self, pairs: DataFrame, reps: DataFrame) -> DataFrame:
-        """Those of (a, b) whose sizes allow the similarity and, if both are large, whose registers suggest it."""
+        """Those of (a, b) whose sizes allow the similarity and whose registers suggest it."""
         percent, least = self.percent, self.least_estimate
-        side = lambda x: reps.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("reg").alias(f"r{x}"))
+        side = lambda x: reps.select(F.col("rep").alias(x), *[F.col(c).alias(f"{c}{x}") for c in ("n", "reg", "own")])
         full = split_join(split_join(pairs, side("a"), "a"), side("b"), "b")
         full = full.filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+        # two sets of these sizes have registers of one kind at least; a small set has its own kind only
+        own = F.least("na", "nb") <= SMALL
+        full = full.select("a", "b", "na", "nb", own.alias("own"), *[F.when(own, F.col(f"own{x}")).otherwise(F.col(f"reg{x}")).alias(f"r{x}") for x in "ab"])
 
         def run(batches):
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                get = lambda c: np.frombuffer(b"".join(r or _NONE for r in batch.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS)
+                get = lambda c: np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS)
                 agree = (get("ra") == get("rb")).sum(1)
-                na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
-                ok = (np.minimum(na, nb) <= SMALL) | (estimate(agree, na, nb) >= least)
+                na, nb, own = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("na", "nb", "own"))
+                ok = estimate(agree, na, nb, own) >= least
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok))
 
-        return full.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long").distinct()
+        return full.mapInArrow(run, "a long, b long").distinct()
 
     def _dealt(self, rest: DataFrame) -> DataFrame:
         """(key, band, rep, comp, n) of buckets that hold several components, dealt into blocks of
@@ -214,8 +208,7 @@ class NearDuplicates:
 
         Registers meet first, and name the members that have a candidate in another component at
         all; then the texts of those meet, and each pair of blocks gives the links that
-        connect what it hasn't connected yet: fewer than it has members. In a bucket of a shingle
-        the full sets meet at once."""
+        connect what it hasn't connected yet: fewer than it has members."""
         k, percent, least = self.k, self.percent, self.least_estimate
         rest = met.filter("size > 2 and rep <> leader").select("key", "band", "rep")
         rest = split_join(rest, comp.select(F.col("v").alias("rep"), "c"), "rep", "left").select("key", "band", "rep", F.coalesce("c", "rep").alias("comp"))
@@ -223,30 +216,25 @@ class NearDuplicates:
 
         def candidates(band: int, same_block: bool, ma: list, mb: list) -> tuple[np.ndarray, ...]:
             """Members i of one block and j of the other to compare, the likeliest first."""
-            if band >= BANDS:
-                ia, ca, ib, cb = (np.array([m[c] for m in x], np.int64) for x in (ma, mb) for c in ("rep", "comp"))
-                similar = _similarity([_set(m["text"], k) for m in ma], [_set(m["text"], k) for m in mb], percent)
-                similar &= ca[:, None] != cb[None, :]
-                if same_block:
-                    similar &= ia[:, None] < ib[None, :]
-                return np.nonzero(similar)
             ia, ca, na, ra = _unpack(ma)
             ib, cb, nb, rb = _unpack(mb)
             ok = ca[:, None] != cb[None, :]
             if same_block:
                 ok &= ia[:, None] < ib[None, :]
-            ok &= 100 * np.minimum(na[:, None], nb[None, :]) >= percent * np.maximum(na[:, None], nb[None, :])
+            smaller, own = np.minimum(na[:, None], nb[None, :]), band >= BANDS
+            ok &= 100 * smaller >= percent * np.maximum(na[:, None], nb[None, :])
+            ok &= (smaller <= SMALL) == own  # two larger sets meet by their buckets
             agree = np.bitwise_count((ra[:, None, :] == rb[None, :, :]).view(_U)).sum(-1, dtype=np.int64)
             i, j = np.nonzero(ok & (agree >= least * REGISTERS))  # the correction only lowers an estimate
-            guess = estimate(agree[i, j], na[i], nb[j])
-            wa, wb = (_band_words(r)[:, :band] for r in (ra, rb))
+            guess = estimate(agree[i, j], na[i], nb[j], own)
+            wa, wb = (_band_words(r)[:, : band % BANDS] for r in (ra, rb))
             good = (guess >= least) & ~(wa[i] == wb[j]).any(-1)  # no earlier band is shared
             i, j, guess = i[good], j[good], guess[good]
             order = np.argsort(-guess, kind="stable")
             return i[order], j[order]
 
         rest = self._not_lonely(rest, docs, text, doc_id)
-        full = split_join(split_join(self._dealt(rest), reps.select("rep", "reg"), "rep"), self._texts(rest.select(F.col("rep").alias("id")).distinct(), docs, text, doc_id).withColumnRenamed("id", "rep"), "rep")
+        full = split_join(split_join(self._dealt(rest), reps.select("rep", "reg", "own"), "rep").withColumn("reg", F.when(F.col("band") < BANDS, F.col("reg")).otherwise(F.col("own"))).drop("own"), self._texts(rest.select(F.col("rep").alias("id")).distinct(), docs, text, doc_id).withColumnRenamed("id", "rep"), "rep")
 
         def links(batches):
             for batch in batches:
@@ -312,10 +300,9 @@ class NearDuplicates:
         known = rows.filter("n > 0 and id is not null")
         sets = materialize(known.groupBy("f1", "f2").agg(F.min("id").alias("rep")), "sets")
         reps = known.filter(F.col("n") >= self.least).join(sets.select(F.col("rep").alias("id"), F.col("f1").alias("g1"), F.col("f2").alias("g2")), "id").filter("f1 = g1 and f2 = g2")
-        reps = materialize(reps.select(F.col("id").alias("rep"), "n", "reg", F.col("f1").alias("s")).dropDuplicates(["rep", "s"]), "reps")
-        keys = F.array(*[F.xxhash64(F.lit(j), F.substring("reg", 2 * ROWS * j + 1, 2 * ROWS)) for j in range(BANDS)])
-        banded = reps.filter(F.col("reg").isNotNull()).select("rep", F.posexplode(keys).alias("band", "key"))
-        banded = banded.unionByName(materialize(self._by_shingles(reps, docs, text, doc_id), "shingles"))
+        reps = materialize(reps.select(F.col("id").alias("rep"), "n", "reg", "own", F.col("f1").alias("s")).dropDuplicates(["rep", "s"]).drop("s"), "reps")
+        keys = lambda r, first: [F.when(F.col(r).isNotNull(), F.struct(F.lit(first + j).alias("band"), F.xxhash64(F.lit(first + j), F.substring(r, 2 * ROWS * j + 1, 2 * ROWS)).alias("key"))) for j in range(BANDS)]
+        banded = reps.select("rep", F.inline(F.array_compact(F.array(*keys("reg", 0), *keys("own", BANDS)))))
         banded = banded.withColumn("turn", F.element_at(F.array(*[F.lit(x).cast("long") for x in _TURNS]), F.pmod("band", F.lit(len(_TURNS))) + 1))
         held = banded.groupBy("key", F.col("band").alias("band2")).agg(F.count(F.lit(1)).alias("size"), F.min(F.col("rep").bitwiseXOR(F.col("turn"))).alias("least")).filter("size > 1")
         met = split_join(banded, held, "key").filter("band = band2").withColumn("leader", F.col("least").bitwiseXOR(F.col("turn")))
@@ -332,45 +319,17 @@ class NearDuplicates:
 
     def deduplicate(self, docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
         """``docs`` with one row of each component, and the rows that have no id."""
-        out = self.classes(docs, text, doc_id).filter("kept and doc_id is not null").select(F.col("doc_id").alias("__id")).distinct()
-        one = docs.withColumn("__id", F.col(doc_id).cast("long")).join(out, "__id").dropDuplicates(["__id"]).drop("__id")
+        mark = free_name(docs, "__id")
+        out = self.classes(docs, text, doc_id).filter("kept and doc_id is not null").select(F.col("doc_id").alias(mark)).distinct()
+        one = docs.withColumn(mark, F.col(doc_id).cast("long")).join(out, mark).dropDuplicates([mark]).select(*[F.col(f"`{c}`") for c in docs.columns])
         return one.unionByName(docs.filter(F.col(doc_id).isNull()))
 
 
-def _sum(h: np.ndarray):
-    """A number of a whole set."""
-    return np.add.reduce(h * (np.arange(1, len(h) + 1, dtype=_U) | _U(1)), dtype=_U)
-
-
-def _similarity(a: list[np.ndarray], b: list[np.ndarray], percent: int) -> np.ndarray:
-    """Which sets of a and b are similar: a matrix of all pairs, exact."""
-    na, nb = (np.array([len(x) for x in y], np.int64) for y in (a, b))
-    ha, hb = np.concatenate(a), np.concatenate(b)
-    common = np.intersect1d(ha, hb)
-    both = np.zeros((len(a), len(b)), np.int64)
-    of = []
-    for h, n in ((ha, na), (hb, nb)):
-        who, has = np.repeat(np.arange(len(n)), n), np.isin(h, common)
-        at = np.searchsorted(common, h[has])
-        order = np.argsort(at, kind="stable")
-        of.append((who[has][order], at[order], len(n)))
-    for c in range(0, len(common), 4096):
-        x = []
-        for who, at, n in of:
-            lo, hi = np.searchsorted(at, [c, c + 4096])
-            dense = np.zeros((n, min(4096, len(common) - c)), np.float32)
-            dense[who[lo:hi], at[lo:hi] - c] = 1
-            x.append(dense)
-        both += (x[0] @ x[1].T).astype(np.int64)
-    return (both > 0) & (100 * both >= percent * (na[:, None] + nb[None, :] - both))
-
-
 def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     both = len(a) + len(b) - len(np.union1d(a, b))
     return bool(both) and 100 * both >= percent * (len(a) + len(b) - both)
 
 
-_NONE = bytes(2 * REGISTERS)
 _sets: dict[tuple[int, str], np.ndarray] = {}
 _held = [0]
 
