@@ -20,13 +20,16 @@ _made: set[str] = set()
 def scratch_root(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (one machine, as in tests) a local folder is set.
+    Only on one machine, as in tests, a local folder is set where the session names none; on a cluster
+    executors would not see each other's files in it.
     """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         held = spark.sparkContext.getCheckpointDir()
         if held:
             root = held
+        elif not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         else:
             root = tempfile.mkdtemp(prefix="tessella-")
             spark.sparkContext.setCheckpointDir(root)
