@@ -1,12 +1,18 @@
 """Main text of web pages by tag-path ratios.
 
-A page is cut into blocks of text, each with its root-to-leaf path of block elements and classes. Text length
-and punctuation are summed per path and divided by the path's blocks; the two ratios are smoothed
-along the page and multiplied. Paths are fused by the container they share (an article or
-main element around them, else the parent), and containers above a threshold on the fused ratio
-are the content. All blocks of a content container stay, however short, but for those in menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, styles and reader comments, which are known by
-element, role and class.
+1. A page is cut into blocks of text, each with its root-to-leaf path of block elements and classes.
+2. Text length, punctuation and link text are summed per path and divided by the path's blocks. The ratios of paths
+   under one parent are smoothed along the page and fused: length times punctuation times what isn't link text.
+   Elements, roles and class or id names of menus, headers, footers, sidebars, notices, adverts, forms and reader
+   comments bring a path's ratio to nothing.
+3. Paths above a threshold are content. The innermost element that holds most of their text is the container; if an article or
+   main element is around it, the outermost of these. Names of the container and of what is around it count for nothing, so that a page
+   within one form or one ``page-with-sidebar`` keeps its text.
+4. In the container all paths stay, however short their blocks, but for those that names exclude and those that are nothing but links,
+   three or more. Outside it a path stays that reaches the threshold; a fifth of it is enough, or a heading, beside
+   the container in an element smaller than the body, or in a further article. Beside an article no other path stays.
+
+A name is a whole class or id whose parts all belong to such names (``cookie-notice``, ``siteFooter``), not ``no-sidebar`` or ``related-work``.
 
 Defined results: null or empty html gives an empty text; markup cut off at the end of a page is
 dropped and unclosed elements end with it; repeated rows give equal texts; an empty table gives
@@ -17,7 +23,7 @@ from __future__ import annotations
 
 import html
 import re
-import statistics
+from collections import defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,8 +32,10 @@ from pyspark.sql import types as T
 
 from tessella.llm.common import free_name
 
-#: Of the best container's fused ratio; what is below isn't content.
-SHARE = 0.25
+#: Of the best path's fused ratio: what is below isn't content; beside the container a part of it is enough.
+SHARE, NEAR = 0.25, 0.2
+#: The container is the innermost element with such a part of the content's text.
+MOST = 0.6
 
 _TAG = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<(script|style|template|noscript|iframe|svg|math|textarea|title)\b(?>[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*[^>]*>|\Z)"
@@ -43,47 +51,64 @@ _BREAKS_P = _BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "h
 _ENDS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}), "tfoot": ({"thead", "tbody", "tr", "td", "th"}, {"table"})}
 _OUT = frozenset("nav header footer aside form fieldset button select option datalist dialog menu head object applet canvas audio video map search".split())
 _OUT_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-_OUT_CLASS = re.compile(
-    r"(?:^|[\s_-])(?:nav(?:bar|igation)?|menus?|header|masthead|footer|foot|side-?bars?|aside|ads?|adverts?|advertisement|advertising|sponsor(?:ed|s)?|promos?|promotions?|banners?|cookies?|consent|gdpr|notices?|alerts?|disclaimer|comments?|commentlist|replies|disqus|respond|share|sharing|social|related|recommend(?:ed|ations)?|breadcrumbs?|newsletter|subscribe|subscription|signup|login|popups?|modal|overlay|pagination|pager|toolbar|widgets?|copyright|skip-link|outbrain|taboola)(?=$|[\s_-])",
-    re.I,
+#: Parts of class and id names: a name is out if all its parts are of these lists, and one at least of the first.
+_OUT_NAMES = frozenset(
+    "nav navbar navigation menu menus header masthead footer foot sidebar sidebars aside ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion promotions banner banners cookie cookies consent gdpr notice notices alert alerts disclaimer comment comments commentlist replies disqus respond share sharing social related recommended recommendations breadcrumb breadcrumbs newsletter subscribe subscription signup login popup popups modal overlay pagination pager toolbar widget widgets copyright outbrain taboola".split()
 )
+_OUT_PARTS = frozenset("a area bar block blocks bottom box buttons container content end form global group inner item items left link links list main media message mobile outer page panel post posts primary right row secondary section side site skip slot small text thread title top unit user wrap wrapper".split())
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[^A-Za-z0-9_:-]+")
 _ATTR = re.compile(r"""(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _PUNCT = re.compile(r"[.,;:!?…。、，；：！？¿¡]")
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: Elements that are never the container.
+_LEAVES = _HEADING | frozenset("p li dt dd td th tr tbody thead tfoot caption table ul ol dl blockquote pre figure figcaption address center summary".split())
 
 
 class _Element:
-    __slots__ = ("tag", "label", "out", "main")
+    __slots__ = ("tag", "up", "path", "out", "main", "mass")
+
+    def __init__(self, tag: str, up: _Element | None, label: str, out: bool, main: bool) -> None:
+        self.tag, self.up, self.out, self.main, self.mass = tag, up, out, main, 0.0
+        self.path = (*(up.path if up else ()), label)
 
-    def __init__(self, tag: str, label: str, out: bool, main: int) -> None:
-        self.tag, self.label, self.out, self.main = tag, label, out, main
 
+def named_out(names: str) -> bool:
+    for name in names.split():
+        parts = [x.lower() for x in _PART.findall(name)]
+        if any(x in _OUT_NAMES for x in parts) and all(x in _OUT_NAMES or x in _OUT_PARTS for x in parts):
+            return True
+    return False
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], int, str]]:
-    """(path, main, text) of every block outside the parts that are never content. ``main``:
-    the number of the innermost article or main element around it, else 0."""
-    out: list[tuple[tuple[str, ...], int, str]] = []
+
+def blocks(page: str) -> list[tuple[_Element | None, str, int]]:
+    """(innermost block element, text, characters of it in links) of every block of text."""
+    out: list[tuple[_Element | None, str, int]] = []
     stack: list[_Element] = []
     parts: list[str] = []
-    mains = 0
+    link, linked = False, 0
 
     def flush() -> None:
+        nonlocal linked
         if parts:
-            if not (stack and stack[-1].out):
-                text = " ".join(html.unescape("".join(parts)).split())
-                if text:
-                    out.append((tuple(e.label for e in stack), stack[-1].main if stack else 0, text))
+            text = " ".join(html.unescape("".join(parts)).split())
+            if text:
+                out.append((stack[-1] if stack else None, text, min(linked, len(text))))
             parts.clear()
+        linked = 0
 
     at = 0
     for m in _TAG.finditer(page):
         if m.start() > at:
             parts.append(page[at : m.start()])
+            linked += link and len(parts[-1])
         at = m.end()
         name = m[3] or m[6]
         if name is None:
             continue
         tag, closing = name.lower(), bool(m[2] or m[5])
+        if tag == "a":
+            link = not closing
+            continue
         if tag == "br":
             parts.append(" ")
             continue
@@ -105,6 +130,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], int, str]]:
         if tag in _VOID or (tag not in _BLOCK and tag not in _OUT):
             continue
         flush()
+        link = False
         if tag in _BREAKS_P:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i].tag == "p":
@@ -124,66 +150,122 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], int, str]]:
         if tag == "body":
             stack[:] = [e for e in stack if e.tag != "head"]
         attrs = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(m[4] or m[7] or "")}
-        up = stack[-1] if stack else None
         role = attrs.get("role", "").lower()
-        inside = up.main if up else 0
+        main = tag in ("article", "main") or role in ("main", "article") or attrs.get("itemprop", "").lower() == "articlebody"
         gone = tag in _OUT or role in _OUT_ROLE
-        if tag == "header" and inside:
-            gone = False  # an article's own head carries its title; only the headings of it are taken below
-        names = f"{attrs.get('class', '')} {attrs.get('id', '')}"
-        if tag not in ("html", "body") and not gone and _OUT_CLASS.search(names):
-            gone = not (tag in ("article", "main") or (inside and tag in _HEADING) or (tag == "header" and inside))
-        if up and up.tag == "header" and up.main and tag not in _HEADING:
-            gone = True
-        if tag in ("article", "main") or role in ("main", "article") or attrs.get("itemprop", "").lower() == "articlebody":
-            mains += 1
-            inside = mains
-        label = tag + "".join(f".{c}" for c in attrs.get("class", "").split()[:2])
-        stack.append(_Element(tag, label, gone or bool(up and up.out), inside))
+        if not gone and tag not in ("html", "body"):
+            gone = named_out(f"{attrs.get('class', '')} {attrs.get('id', '')}")
+        label = tag + "".join(f".{c}" for c in attrs.get("class", "").split()[:2]) + ("!" if gone else "")
+        stack.append(_Element(tag, stack[-1] if stack else None, label, gone, main))
     if at < len(page):
         parts.append(page[at:])
+        linked += link and len(parts[-1])
     flush()
     return out
 
 
+def _chain(e: _Element | None) -> list[_Element]:
+    """The element and what is around it, from the inside."""
+    out = []
+    while e:
+        out.append(e)
+        e = e.up
+    return out
+
+
+class _Path:
+    __slots__ = ("blocks", "chars", "marks", "linked", "score")
+
+    def __init__(self) -> None:
+        self.blocks = self.chars = self.marks = self.linked = 0
+        self.score = 0.0
+
+
 def _smooth(values: list[float]) -> list[float]:
     """Along the page, with weights 1 2 1."""
     n = len(values)
     return [(values[max(0, i - 1)] + 2 * values[i] + values[min(n - 1, i + 1)]) / 4 for i in range(n)]
 
 
-def extract(page: str | None) -> str:
+def path_ratios(found: list[tuple[_Element | None, str, int]]) -> dict[tuple, _Path]:
+    """The fused ratio of every path, without regard to names."""
+    paths: dict[tuple, _Path] = {}
+    for e, text, linked in found:
+        x = paths.setdefault(e.path if e else (), _Path())
+        x.blocks += 1
+        x.chars += len(text)
+        x.marks += len(_PUNCT.findall(text))
+        x.linked += linked
+    under = defaultdict(list)
+    for key, x in paths.items():
+        under[key[:-1]].append(x)
+    for group in under.values():
+        length, marks = _smooth([x.chars / x.blocks for x in group]), _smooth([x.marks / x.blocks for x in group])
+        for x, a, b in zip(group, length, marks):
+            x.score = a * (1 + b) * ((1 - x.linked / x.chars) ** 2 + 0.02)
+    return paths
+
+
+def content(found: list[tuple[_Element | None, str, int]], share: float = SHARE) -> list[str]:
+    """The texts of the blocks that are content."""
+    paths = path_ratios(found)
+    chains = [_chain(e) for e, _, _ in found]
+    key = lambda i: found[i][0].path if found[i][0] else ()
+    plain = [not any(e.out for e in c) for c in chains]
+    top = max((paths[key(i)].score for i in range(len(found)) if plain[i]), default=0.0)
+    named = not top  # everything lies in elements with such names: the best of them counts
+    if named:
+        top = max(x.score for x in paths.values())
+    # the container: where most of the text of content paths is
+    roots: list[_Element] = []
+    inside: dict[int, list[_Element]] = defaultdict(list)
+    seen: set[int] = set()
+    whole = 0.0
+    for i, (_, text, linked) in enumerate(found):
+        mass = (len(text) - 0.98 * linked) * (1.0 if paths[key(i)].score >= share * top else 0.05) * (1.0 if plain[i] else 0.05)
+        whole += mass
+        for e in chains[i]:
+            e.mass += mass
+            if id(e) not in seen:
+                seen.add(id(e))
+                (inside[id(e.up)] if e.up else roots).append(e)
+    box: _Element | None = None
+    while True:
+        best = max(inside[id(box)] if box else roots, key=lambda e: e.mass, default=None)
+        if best is None or best.mass < MOST * whole or best.tag in _LEAVES:
+            break
+        box = best
+    around = _chain(box)
+    mains = [e for e in around if e.main]
+    if mains:
+        box = mains[-1]
+        around = _chain(box)
+    free = {id(e) for e in around}
+    beside = {id(e) for e in around if e is not box and e.tag not in ("html", "body")}
+    out = []
+    for i, (e, text, _) in enumerate(found):
+        x, chain = paths[key(i)], chains[i]
+        own = [c for c in chain if id(c) not in free]
+        within = box is None or box in chain
+        heading = e is not None and e.tag in _HEADING
+        # a header within the container is the article's own, of which the headings are taken
+        if any(c.out and not (within and heading and c.tag == "header") for c in own):
+            continue
+        if within:
+            keep = heading or x.blocks < 3 or x.linked < 0.9 * x.chars or (e is not None and e.tag == "p")
+        elif any(c.main for c in own) or any(id(c) in beside for c in chain):
+            keep = heading or x.score >= share * NEAR * top
+        else:
+            keep = not mains and x.score >= share * top
+        if keep:
+            out.append(text)
+    return out
+
+
+def extract(page: str | None, share: float = SHARE) -> str:
     """The main text: content blocks in page order, two line feeds between them."""
     found = blocks(page or "")
-    if not found:
-        return ""
-    if any(main for _, main, _ in found):
-        found = [b for b in found if b[1]]
-    # ratios by path
-    paths: dict[tuple, list[float]] = {}
-    for path, main, text in found:
-        x = paths.setdefault((main, path), [0, 0, 0])
-        x[0] += 1
-        x[1] += len(text)
-        x[2] += len(_PUNCT.findall(text))
-    keys = list(paths)
-    length = _smooth([paths[k][1] / paths[k][0] for k in keys])
-    marks = _smooth([paths[k][2] / paths[k][0] for k in keys])
-    ratio = {k: a * (1 + b) for k, a, b in zip(keys, length, marks)}
-    # fused by container: weighed by the blocks of a path
-    fused: dict[tuple, float] = {}
-    for k in keys:
-        c = (k[0],) if k[0] else (0, k[1][:-1])
-        fused[c] = fused.get(c, 0.0) + ratio[k] * paths[k][0]
-    top = max(fused.values())
-    cut = SHARE * top
-    if len(fused) > 1:
-        cut = min(cut, max(statistics.pstdev(fused.values()), 0.05 * top))
-    content = {c for c, v in fused.items() if v >= cut}
-    # lists and tables within a content container are part of it
-    within = {c[1] for c in content if len(c) > 1 and c[1] and c[1][-1].split(".")[0] not in ("html", "body")}
-    keep = lambda path: (0, path[:-1]) in content or any(path[:n] in within for n in range(1, len(path)))
-    return "\n\n".join(t for path, main, t in found if ((main,) in content if main else keep(path)))
+    return "\n\n".join(content(found, share)) if found else ""
 
 
 def extract_text(pages: DataFrame, html_column: str = "html") -> DataFrame:
