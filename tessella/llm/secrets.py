@@ -8,7 +8,8 @@ distinct repositories and owners, and an opaque string that ``shared_owners`` ow
 carry is a copied example, while one that few carry looks live. All spans get that class.
 
 Positions come from splitting the text at the matches: a match starts where the pieces and
-matches before it end, in code points.
+matches before it end, in code points. Their lengths are summed by a window over the matches, not the text, which
+stays where it was read.
 
 Defined results: null or empty text has no spans; a null repository counts as one of its own;
 repeated rows are scanned each and add nothing to the distinct counts; an empty table gives an
@@ -17,7 +18,7 @@ empty table. Every row is kept. Only id, repository and text are read, so other
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.common import materialize, split_join
@@ -34,25 +35,21 @@ SHARED_OWNERS = 3
 
 
 def _found(text: Column, pattern: str, kind: int, hint: Column | None = None, keep=None) -> Column:
-    """Spans of one pattern: array of (start, end, kind, key). ``keep``: which matches count."""
-    none = F.array().cast("array<struct<start:long,end:long,kind:int,key:long>>")
+    """Matches of one pattern: array of (kind, gap, length, key, keep), gap being the characters since the match before.
+    ``keep``: which matches count."""
+    none = F.array().cast("array<struct<kind:int,gap:long,length:long,key:long,keep:boolean>>")
     pieces, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    zero = F.struct(F.lit(0).cast("long").alias("at"), none.alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["piece"])
-        end = start + F.length(x["match"])
-        value = F.regexp_extract(x["match"], pattern, 1) if kind == 0 else x["match"]
-        one = F.array(F.struct(start.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), F.xxhash64(value).alias("key")))
-        return F.struct(end.alias("at"), F.when(keep(x["match"]), F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+    def one(piece: Column, match: Column) -> Column:
+        value = F.regexp_extract(match, pattern, 1) if kind == 0 else match
+        return F.struct(F.lit(kind).alias("kind"), F.length(piece).cast("long").alias("gap"), F.length(match).cast("long").alias("length"), F.xxhash64(value).alias("key"), keep(match).alias("keep"))
 
-    zipped = F.zip_with(F.slice(pieces, 1, F.greatest(F.size(matches), F.lit(0))), matches, lambda p, m: F.struct(p.alias("piece"), m.alias("match")))
-    spans = F.aggregate(zipped, zero, step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern) if hint is None else hint & text.rlike(pattern), spans).otherwise(none)
+    zipped = F.zip_with(F.slice(pieces, 1, F.greatest(F.size(matches), F.lit(0))), matches, one)
+    return F.when(text.rlike(pattern) if hint is None else hint & text.rlike(pattern), zipped).otherwise(none)
 
 
-def spans_of(text: Column) -> Column:
-    """All candidates of a text."""
+def matches_of(text: Column) -> Column:
+    """All matches of a text, in order within each kind."""
     t = F.coalesce(text, F.lit(""))
     yes = lambda m: F.lit(True)
     mixed = lambda m: m.rlike("[0-9]") & m.rlike("[a-z]") & m.rlike("[A-Z]")
@@ -60,6 +57,14 @@ def spans_of(text: Column) -> Column:
     return F.concat(_found(t, ASSIGN, 0, keep=long_value), _found(t, ACCESS, 1, t.contains("AKIA"), yes), _found(t, HEX, 2, keep=yes), _found(t, OPAQUE, 3, keep=mixed))
 
 
+def placed(matches: DataFrame) -> DataFrame:
+    """From (row, ..., found) one row per match that counts, with its start and end: running sums along
+    a text, so that the work grows with the number of its matches and no more."""
+    each = matches.filter(F.size("found") > 0).select("row", "repo", "owner", F.posexplode("found").alias("pos", "m")).select("row", "repo", "owner", "pos", "m.*")
+    end = F.sum(F.col("gap") + F.col("length")).over(Window.partitionBy("row", "kind").orderBy("pos"))
+    return each.withColumn("end", end).filter("keep").select("row", "repo", "owner", (F.col("end") - F.col("length")).alias("start"), "end", "kind", "key")
+
+
 def ownership(candidates: DataFrame) -> DataFrame:
     """(key, repo, owner) to key, n_repos, n_owners: distinct counts over the whole corpus.
     Copies within a repository fall together before anything is dealt by key."""
@@ -73,9 +78,9 @@ def scan(docs: DataFrame, text: str = "text", repo: str = "source", owner: Colum
     """Per row: doc_id and spans, an array of (start, end, kind, n_repos, n_owners, class), by
     start, then kind. ``owner``: by default the part of the repository's name before a slash."""
     who = F.substring_index(F.col(repo).cast("string"), "/", 1) if owner is None else owner
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(repo).cast("string").alias("repo"), who.alias("owner"), spans_of(F.col(text)).alias("found"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(repo).cast("string").alias("repo"), who.alias("owner"), matches_of(F.col(text)).alias("found"))
     rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "candidates")
-    one = rows.filter(F.size("found") > 0).select("row", "repo", "owner", F.inline("found"))
+    one = materialize(placed(rows), "matches")
     stats = ownership(one)
     kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("kind") + 1)
     live = F.col("n_owners") < shared_owners
