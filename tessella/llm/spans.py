@@ -1,8 +1,8 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences, at line ends and after closing punctuation; sentences of more than
-``PIECE`` words are cut further, after words chosen by their hash, so that one long sentence has spans
-too, wherever a passage begins in it. A span is a run of consecutive sentences: from each sentence
+A text is cut into sentences, at line ends and after closing punctuation; within a sentence every run of ``PIECE``
+words is cut after the word with the least hash (the first of equal ones), so that one long sentence has spans
+too, wherever a passage begins in it, and a passage is cut alike in every sentence that holds it. A span is a run of consecutive sentences: from each sentence
 on the shortest run of ``LEAST_SENTENCES`` or more with ``LEAST_WORDS`` or more words, and the same
 backwards to each sentence, so that a repeated passage is covered up to both of its ends. Spans
 are hashed over their words (lower case) and joined over the whole corpus, and sentences that lie in any
@@ -16,7 +16,8 @@ join whose hot partitions can be cut.
 
 Defined results: null text stays null and has no sentences; texts of less than a span stay
 as they are; rows with one id count as one document, so repeated rows all keep what the first
-keeps; a null id comes after all others; an empty table gives an empty table.
+keeps; rows with a null id come after all others (of ids below 2**62), in an order by hash, those of one text as one document;
+an empty table gives an empty table. Spans count as equal if their 64-bit hashes are.
 Columns of the input stay; ``n_removed`` gets underscores where taken.
 """
 
@@ -31,7 +32,7 @@ from pyspark.sql import types as T
 from tessella.llm import textvec
 from tessella.llm.common import free_name, materialize, split_join
 
-LEAST_SENTENCES, LEAST_WORDS, PIECE = 3, 25, 16
+LEAST_SENTENCES, LEAST_WORDS, PIECE = 3, 25, 12
 _STOP = np.zeros(256, bool)
 _STOP[list(b".!?")] = True
 _U = np.uint64
@@ -47,11 +48,14 @@ def sentences(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     b = np.frombuffer(text, np.uint8)
     line = np.searchsorted(np.flatnonzero(b == 10), s)
     first = np.concatenate([[0], np.flatnonzero(_STOP[b[e[:-1] - 1]] | (line[1:] > line[:-1])) + 1])
-    last = np.append(first[1:], len(h))
-    if (last - first).max() > PIECE:
-        long = np.repeat(last - first, last - first) > PIECE
-        after = np.flatnonzero(long[:-1] & ((h[:-1] & _U(7)) == 0)) + 1
-        first = np.union1d(first, after)
+    if len(h) >= PIECE and (np.diff(np.append(first, len(h))) >= PIECE).any():
+        of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(h))))
+        at = np.flatnonzero(of[: len(h) - PIECE + 1] == of[PIECE - 1 :])  # runs within one sentence
+        for i in range(0, len(at), 1 << 16):
+            part = at[i : i + (1 << 16)]
+            least = part + np.lib.stride_tricks.sliding_window_view(h, PIECE)[part].argmin(1)
+            first = np.union1d(first, least + 1)
+        first = first[first < len(h)]
     starts = s[first]
     return starts, np.append(starts[1:], len(text)), first, h
 
@@ -109,8 +113,8 @@ def _span_rows(batches):
 def repeated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(key, spans): by a hash of id and text, the (a, b) of sentences that an earlier document
     has, or an earlier place of the same one."""
-    last = F.lit((1 << 63) - 1)
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), last).alias("id"), F.xxhash64(F.col(doc_id), F.col(text).cast("string")).alias("row"), F.col(text).cast("string").alias("text"))
+    late = F.xxhash64(F.col(text).cast("string")).bitwiseAND((1 << 61) - 1) + F.lit(1 << 62)
+    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), late).alias("id"), F.xxhash64(F.col(doc_id), F.col(text).cast("string")).alias("row"), F.col(text).cast("string").alias("text"))
     spans = materialize(rows.mapInArrow(_span_rows, "h long, id long, row long, a int, b int, again boolean"), "spans")
     once = spans.filter("not again").drop("again")
     per = once.groupBy("h").agg(F.min("id").alias("id0"), F.max("id").alias("id1")).filter("id0 < id1").select("h", "id0")
@@ -134,7 +138,8 @@ def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     """``docs`` with the text cut, and n_removed."""
     key = F.xxhash64(F.col(doc_id), F.col(text).cast("string"))
     known = materialize(repeated(docs, text, doc_id), "repeats")
-    joined = docs.withColumn("__key", key).join(known.select(F.col("key").alias("__key"), F.col("spans").alias("__spans")), "__key", "left").drop("__key")
+    mark, held = free_name(docs, "__key"), free_name(docs, "__spans")
+    joined = docs.withColumn(mark, key).join(known.select(F.col("key").alias(mark), F.col("spans").alias(held)), mark, "left")
     name, at = free_name(docs, "n_removed"), docs.columns.index(text)
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())])
 
@@ -151,7 +156,7 @@ def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
             cols[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in schema.fields])
 
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], "__spans").mapInArrow(run, schema)
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], held).mapInArrow(run, schema)
 
 
 def op6_spans(spark, sf_dir: str) -> DataFrame:
