@@ -13,11 +13,11 @@
 At a weighted similarity of 0.8 fingerprints differ in 9.7 bits, with a standard deviation of 2.9, so
 the radius loses fewer than one in 100,000 there and none of the closer ones.
 
-Bounds: the benchmark's shingles and variants are broadcast only after their rows are counted
-(``BROADCAST_ROWS``), and joined by key beyond that.
+Bounds: the benchmark's shingles and variants, and the windows found, are broadcast only up to ``BROADCAST_BYTES``,
+and joined by key beyond that.
 
 Defined results: null or empty texts and items match nothing; an item of fewer than k words
-has one shingle of its own length; repeated documents are each reported, repeated items by each id; of
+has one shingle of its own length; a null item id is found and reported as null; repeated documents are each reported, repeated items by each id; of
 several windows the most similar counts, then the first; empty tables give empty tables. Only id and text are read.
 """
 
@@ -28,16 +28,18 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import lower_ascii, materialize, word_array
+from tessella.llm.common import free_name, lower_ascii, materialize, word_array
 
 K, PERCENT = 5, 80
 BLOCKS, FLIPS = 8, 2
 RADIUS = BLOCKS * (FLIPS + 1) - 1
-BROADCAST_ROWS = 500_000
+#: What is broadcast has so many bytes at most, by a sum over its rows.
+BROADCAST_BYTES = 64 << 20
 
 
-def _maybe_broadcast(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _maybe_broadcast(df: DataFrame, row_bytes: Column | int = 48) -> DataFrame:
+    size = df.agg(F.sum(F.lit(row_bytes) if isinstance(row_bytes, int) else row_bytes)).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def _at(words: Column, i: Column, k: int) -> Column:
@@ -95,8 +97,8 @@ class Decontamination:
         self.k, self.percent = k, percent
 
     def _items(self, bench: DataFrame, text: str, item_id: str) -> DataFrame:
-        words = bench.select(F.col(item_id).alias("item_id"), word_array(lower_ascii(F.col(text))).alias("w")).filter(F.size("w") > 0)
-        items = words.select("item_id", F.size("w").alias("size"), shingles(F.col("w"), self.k).alias("sh"))
+        words = bench.select(F.xxhash64(F.col(item_id), F.col(text).cast("string")).alias("item"), F.col(item_id).alias("item_id"), word_array(lower_ascii(F.col(text))).alias("w")).filter(F.size("w") > 0)
+        items = words.dropDuplicates(["item"]).select("item", "item_id", F.size("w").alias("size"), shingles(F.col("w"), self.k).alias("sh"))
         return materialize(items.withColumn("finger", simhash(F.col("sh"))), "items")
 
     def pairs(self, docs: DataFrame, bench: DataFrame, text: str = "text", doc_id: str = "doc_id", bench_text: str = "text", item_id: str = "item_id") -> DataFrame:
@@ -121,12 +123,12 @@ class Decontamination:
         windows = materialize(windows.withColumn("finger", simhash(F.col("sh"))).distinct(), "fingers")
         # the multi-index: every item under its size, block and variant
         variants = F.explode(F.flatten(F.array(*[_variants(F.col("finger"), j) for j in range(BLOCKS)])))
-        index = items.select("item_id", "size", F.col("finger").alias("item_finger"), variants.alias("v")).select("item_id", "size", "item_finger", "v.j", "v.value")
+        index = items.select("item", "size", F.col("finger").alias("item_finger"), variants.alias("v")).select("item", "size", "item_finger", "v.j", "v.value")
         asked = windows.select("key", "size", "start", "end", "finger", F.posexplode(F.array(*[_block(F.col("finger"), j) for j in range(BLOCKS)])).alias("j", "value"))
         near = asked.join(_maybe_broadcast(materialize(index, "index")), ["size", "j", "value"])
         near = near.filter(F.bit_count(F.col("finger").bitwiseXOR(F.col("item_finger"))) <= RADIUS)
-        near = near.select("key", "size", "start", "end", "item_id").distinct()
-        full = near.join(windows.drop("finger"), ["key", "size", "start", "end"]).join(_maybe_broadcast(items.select("item_id", F.col("sh").alias("item_sh")).distinct()), "item_id")
+        near = near.select("key", "size", "start", "end", "item").distinct()
+        full = near.join(windows.drop("finger"), ["key", "size", "start", "end"]).join(_maybe_broadcast(items.select("item", "item_id", F.col("sh").alias("item_sh")), F.size("item_sh") * 8 + 48), "item")
         both, whole = similarity(F.col("sh"), F.col("item_sh"))
         full = full.withColumn("both", both).withColumn("whole", whole).filter((F.col("both") > 0) & (100 * F.col("both") >= self.percent * F.col("whole")))
         best = F.max_by(F.struct("start", "end", (F.col("both") / F.col("whole")).alias("similarity")), F.struct(F.col("both") / F.col("whole"), -F.col("start"), -F.col("end")))
@@ -135,9 +137,10 @@ class Decontamination:
 
     def decontaminate(self, docs: DataFrame, bench: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
         """The rows of ``docs`` that contain no item."""
-        found = materialize(self.pairs(docs, bench, text, doc_id).select(F.col("key").alias("__key")).distinct(), "leaks")
-        keyed = docs.withColumn("__key", F.xxhash64(F.col(doc_id), F.col(text).cast("string")))
-        return keyed.join(_maybe_broadcast(found), "__key", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+        mark = free_name(docs, "__key")
+        found = materialize(self.pairs(docs, bench, text, doc_id).select(F.col("key").alias(mark)).distinct(), "leaks")
+        keyed = docs.withColumn(mark, F.xxhash64(F.col(doc_id), F.col(text).cast("string")))
+        return keyed.join(_maybe_broadcast(found), mark, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 ORACLE = r"""
