@@ -48,14 +48,15 @@ def source_rates(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: flo
     return per.withColumn("target", target).withColumn("rate", rate).select("source", "source_size", "target", "rate")
 
 
-def _with_rates(docs: DataFrame, rates: DataFrame, source: Column) -> DataFrame:
-    """docs with a struct ``__rate`` of its source. Sources are few beside documents; their
+def _with_rates(docs: DataFrame, rates: DataFrame, source: Column) -> tuple[DataFrame, str]:
+    """docs with a struct of its source's rate, and that column's name. Sources are few beside documents; their
     table is broadcast only after its rows are counted, and is else joined by key."""
-    rates = materialize(rates, "rates").select(F.coalesce("source", F.lit("")).alias("__s"), F.col("source").isNull().alias("__n"), F.struct("source_size", "target", "rate").alias("__rate"))
+    key, null, held = (free_name(docs, x) for x in ("__source", "__null", "__rate"))
+    rates = materialize(rates, "rates").select(F.coalesce("source", F.lit("")).alias(key), F.col("source").isNull().alias(null), F.struct("source_size", "target", "rate").alias(held))
     if rates.count() <= BROADCAST_ROWS:
         rates = F.broadcast(rates)
-    keyed = docs.withColumn("__s", F.coalesce(source, F.lit(""))).withColumn("__n", source.isNull())
-    return keyed.join(rates, ["__s", "__n"], "left").drop("__s", "__n")
+    keyed = docs.withColumn(key, F.coalesce(source, F.lit(""))).withColumn(null, source.isNull())
+    return keyed.join(rates, [key, null], "left").drop(key, null), held
 
 
 def _copies(rate: Column, coin: Column) -> Column:
@@ -67,16 +68,16 @@ def mix_plan(docs: DataFrame, text: str = "text", source: str = "source", doc_id
     """Per document: doc_id, source, size, source_size, target, copies, taken."""
     sizes = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
     sizes = materialize(sizes, "sizes")  # the words are counted once
-    full = _with_rates(sizes, source_rates(sizes, weights, most), F.col("source"))
-    copies = _copies(F.col("__rate.rate"), unit_hash(seed, F.col("doc_id")))
-    return full.select("doc_id", "source", "size", "__rate.source_size", "__rate.target", copies.alias("copies")).withColumn("taken", F.col("size") * F.col("copies"))
+    full, rate = _with_rates(sizes, source_rates(sizes, weights, most), F.col("source"))
+    copies = _copies(F.col(rate)["rate"], unit_hash(seed, F.col("doc_id")))
+    return full.select("doc_id", "source", "size", f"{rate}.source_size", f"{rate}.target", copies.alias("copies")).withColumn("taken", F.col("size") * F.col("copies"))
 
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights=WEIGHTS, most: float = MOST, seed: int = SEED) -> DataFrame:
     """The mix itself: the columns of ``docs``, each row as often as it is taken."""
     sizes = docs.select(F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
-    full = _with_rates(docs, source_rates(sizes, weights, most), F.col(source))
-    copies = _copies(F.col("__rate.rate"), unit_hash(seed, F.col(doc_id)))
+    full, rate = _with_rates(docs, source_rates(sizes, weights, most), F.col(source))
+    copies = _copies(F.col(rate)["rate"], unit_hash(seed, F.col(doc_id)))
     nth = free_name(docs, "copy")
     return full.withColumn(nth, F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies.cast("int"))))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
