@@ -40,3 +40,13 @@ def ordered_text(value: Column, separator: str, *by: Column) -> Column:
     """``string_agg(value, separator ORDER BY by)``; nulls are passed by, none at all gives null."""
     text = F.array_join(ordered_list(value, *by), separator)
     return F.when(F.count(value) > 0, text)
+
+
+def grouping_product(rollups: list[list[str]]) -> list[tuple[str, ...]]:
+    """The grouping sets of several ROLLUPs side by side, each once (GROUP BY DISTINCT)."""
+    sets: list[frozenset] = [frozenset()]
+    for r in rollups:
+        sets = [s | frozenset(r[:n]) for s in sets for n in range(len(r), -1, -1)]
+    names = [c for r in rollups for c in r]
+    order = list(dict.fromkeys(names))
+    return [tuple(c for c in order if c in s) for s in dict.fromkeys(sets)]

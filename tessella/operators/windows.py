@@ -14,15 +14,23 @@ def groups_frame(df: DataFrame, partition: list[str], order: list[str], aggs: di
     return ranked.withColumns({k: v.over(w) for k, v in aggs.items()}).drop(g)
 
 
-def exclude_current_row(total: Column, value: Column, w: WindowSpec) -> Column:
-    """Sum over the frame without the row itself; null where nothing is left."""
-    others = F.count(value).over(w) - F.when(value.isNull(), 0).otherwise(1)
-    return F.when(others > 0, total - F.coalesce(value, F.lit(0)))
-
-
-def exclude_ties(total: Column, value: Column, w: WindowSpec, peers: WindowSpec) -> Column:
-    """Sum over the frame without the row's peers, but with itself."""
-    return total - F.coalesce(F.sum(value).over(peers), F.lit(0)) + F.coalesce(value, F.lit(0))
+def excluded(kind: str, aggregate: str, value: Column, frame: WindowSpec, peers: WindowSpec | None = None) -> Column:
+    """sum, count or avg over a frame with EXCLUDE ``kind``: ``current row``, ``group`` or ``ties``. sum and avg are null where
+    nothing is left. ``peers``: the window of the row's peers, which the frame must hold whole, as RANGE and GROUPS
+    frames around the row do; frames that cut peer groups (ROWS) serve ``current row`` only."""
+    own, has = F.coalesce(value, F.lit(0)), F.when(value.isNull(), 0).otherwise(1)
+    total, n = F.coalesce(F.sum(value).over(frame), F.lit(0)), F.count(value).over(frame)
+    if kind == "current row":
+        total, n = total - own, n - has
+    elif kind in ("group", "ties"):
+        total, n = total - F.coalesce(F.sum(value).over(peers), F.lit(0)), n - F.count(value).over(peers)
+        if kind == "ties":
+            total, n = total + own, n + has
+    else:
+        raise ValueError(f"EXCLUDE {kind}")
+    if aggregate == "count":
+        return n
+    return F.when(n > 0, total if aggregate == "sum" else total / n)
 
 
 def interpolate(value: Column, w: WindowSpec) -> Column:

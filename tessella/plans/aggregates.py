@@ -18,7 +18,14 @@ statement("agg_any_value", "SELECT c_nationkey, any_value(c_nationkey * 2) AS v
 statement("agg_grouping_sets", "SELECT l_returnflag, l_linestatus, grouping(l_returnflag) AS gr, grouping(l_linestatus) AS gl, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), ())", "SELECT l_returnflag, l_linestatus, grouping(l_returnflag)::TINYINT AS gr, grouping(l_linestatus)::TINYINT AS gl, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), ())")
 statement("agg_rollup", "SELECT o_orderstatus, o_orderpriority, round(sum(o_totalprice), 1) AS total FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
 statement("agg_cube", "SELECT c_mktsegment, n_regionkey, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY CUBE (c_mktsegment, n_regionkey)")
-statement("agg_group_by_distinct", "SELECT c_mktsegment, c_nationkey, count(*) AS n FROM customer GROUP BY GROUPING SETS ((c_mktsegment), (c_nationkey), (c_mktsegment, c_nationkey))")
+
+
+def _distinct_sets() -> str:
+    """GROUP BY DISTINCT ROLLUP (a, b), ROLLUP (a, c): the sets of the product, each once."""
+    return ", ".join("(" + ", ".join(x) + ")" for x in A.grouping_product([["c_mktsegment", "c_nationkey"], ["c_mktsegment", "up"]]))
+
+
+statement("agg_group_by_distinct", f"SELECT c_mktsegment, c_nationkey, up, count(*) AS n FROM (SELECT *, c_acctbal > 0 AS up FROM customer) t GROUP BY GROUPING SETS ({_distinct_sets()})", "SELECT c_mktsegment, c_nationkey, up, count(*) AS n FROM (SELECT *, c_acctbal > 0 AS up FROM customer) t GROUP BY GROUPING SETS ((), (c_mktsegment), (c_mktsegment, c_nationkey), (c_mktsegment, up), (c_mktsegment, c_nationkey, up))")
 statement("agg_percentile", "SELECT c_mktsegment, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY c_acctbal), 6) AS med, percentile_disc(0.9) WITHIN GROUP (ORDER BY c_acctbal) AS p90 FROM customer GROUP BY c_mktsegment")
 statement("agg_mode", "SELECT n_regionkey, mode() WITHIN GROUP (ORDER BY s_nationkey) AS m FROM (SELECT 1 AS n_regionkey, s_nationkey FROM supplier WHERE s_nationkey IN (SELECT s_nationkey FROM supplier GROUP BY s_nationkey HAVING count(*) = (SELECT max(c) FROM (SELECT count(*) AS c FROM supplier GROUP BY s_nationkey))) AND s_nationkey <= (SELECT min(k) FROM (SELECT s_nationkey AS k FROM supplier GROUP BY s_nationkey HAVING count(*) = (SELECT max(c) FROM (SELECT count(*) AS c FROM supplier GROUP BY s_nationkey))))) GROUP BY n_regionkey")
 statement(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessella.operators import timeseries as S
 from tessella.plans.registry import query
-from tessella.session import table
+from tessella.session import scratch, table
 
 
 @query("time_bucket", "SELECT time_bucket(INTERVAL '15 minutes', ts, TIMESTAMP '1970-01-01') AS bucket, event_type, count(*) AS n, round(avg(value), 6) AS a FROM events GROUP BY 1, 2")
@@ -40,17 +40,16 @@ def window_session(spark, d):
 
 @query(
     "gap_fill",
-    """WITH b AS (SELECT event_type, time_bucket(INTERVAL '1 hour', ts, TIMESTAMP '1970-01-01') AS bucket, count(*) AS n FROM events WHERE user_id % 50 = 7 GROUP BY ALL),
+    """WITH b AS (SELECT event_type, time_bucket(INTERVAL '1 hour', ts, TIMESTAMP '1970-01-01') AS bucket, count(*) AS n FROM events GROUP BY ALL),
     g AS (SELECT t.event_type, x.bucket FROM (SELECT DISTINCT event_type FROM b) t, (SELECT unnest(generate_series((SELECT min(bucket) FROM b), (SELECT max(bucket) FROM b), INTERVAL '1 hour')) AS bucket) x)
     SELECT event_type, bucket, coalesce(n, 0) AS n FROM g LEFT JOIN b USING (event_type, bucket)""",
 )
 def gap_fill(spark, d):
-    b = table(spark, d, "events").filter("user_id % 50 = 7").groupBy("event_type", S.time_bucket(3600, F.col("ts")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    ends = b.agg(F.min("bucket"), F.max("bucket")).first()
-    if ends[0] is None:
-        return b
-    lit = lambda x: F.lit(str(x)).cast("timestamp_ntz")
-    return S.gap_fill(b, ["event_type"], "bucket", 3600, lit(ends[0]), lit(ends[1])).select("event_type", "bucket", F.coalesce("n", F.lit(0)).alias("n"))
+    b = table(spark, d, "events").groupBy("event_type", S.time_bucket(3600, F.col("ts")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    # the bounds are one row, so that nothing runs while the plan is made
+    ends = b.agg(F.min("bucket").alias("lo"), F.max("bucket").alias("hi"))
+    grid = b.select("event_type").distinct().crossJoin(F.broadcast(ends)).select("event_type", F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 1 HOUR"))).alias("bucket"))
+    return grid.join(b, ["event_type", "bucket"], "left").select("event_type", "bucket", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("retention", "SELECT event_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL '1 day'")
@@ -62,5 +61,13 @@ def retention(spark, d):
 
 @query("continuous_aggregate", "SELECT event_type, time_bucket(INTERVAL '1 day', ts, TIMESTAMP '1970-01-01') AS bucket, count(*) AS n, round(max(value), 6) AS top FROM events GROUP BY 1, 2")
 def continuous_aggregate(spark, d):
-    c = S.ContinuousAggregate("", "ts", 86400, ["event_type"], {"n": F.count(F.lit(1)), "top": F.round(F.max("value"), 6)})
-    return c.compute(table(spark, d, "events"))
+    """Created on the older rows, refreshed with all of them, read back."""
+    e = table(spark, d, "events")
+    c = S.ContinuousAggregate(scratch(spark, "aggregate"), "ts", 86400, ["event_type"], {"n": F.count(F.lit(1)), "top": F.round(F.max("value"), 6)})
+    half = e.agg(F.timestamp_micros(F.avg(F.unix_micros(F.col("ts").cast("timestamp"))).cast("long")).cast("timestamp_ntz").alias("m")).first()[0]
+    if half is None:
+        return c.compute(e)
+    since = F.lit(half)
+    c.create(e.filter(F.col("ts") < since))
+    c.refresh(e, since)
+    return c.read(spark)

@@ -31,15 +31,19 @@ def win_groups_frame(spark, d):
 @query("win_exclude_current", "SELECT s_suppkey, sum(s_nationkey) OVER (PARTITION BY s_nationkey % 5 ORDER BY s_suppkey ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING EXCLUDE CURRENT ROW)::BIGINT AS s FROM supplier")
 def win_exclude_current(spark, d):
     w = Window.partitionBy(F.col("s_nationkey") % 5).orderBy("s_suppkey").rowsBetween(-2, 2)
-    v = F.col("s_nationkey").cast("long")
-    return table(spark, d, "supplier").select("s_suppkey", W.exclude_current_row(F.sum(v).over(w), v, w).alias("s"))
+    return table(spark, d, "supplier").select("s_suppkey", W.excluded("current row", "sum", F.col("s_nationkey").cast("long"), w).alias("s"))
 
 
-@query("win_exclude_ties", "SELECT p_partkey, sum(p_size) OVER (PARTITION BY p_brand ORDER BY p_size RANGE BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE TIES)::BIGINT AS s FROM part")
-def win_exclude_ties(spark, d):
-    v = F.col("p_size").cast("long")
-    w, peers = Window.partitionBy("p_brand"), Window.partitionBy("p_brand", "p_size")
-    return table(spark, d, "part").select("p_partkey", W.exclude_ties(F.sum(v).over(w), v, w, peers).alias("s"))
+_EX = "OVER (PARTITION BY p_brand ORDER BY p_size RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING EXCLUDE {})"
+_V = "CASE WHEN p_partkey % 3 > 0 THEN p_size END"
+
+
+@query("win_exclude_peers", "SELECT p_partkey, " + ", ".join(f"{a}({_V}) {_EX.format(k)}{c} AS {a}_{k}" for k in ("ties", "group") for a, c in (("sum", "::BIGINT"), ("count", ""))) + f", round(avg({_V}) {_EX.format('ties')}, 9) AS avg_ties FROM part")
+def win_exclude_peers(spark, d):
+    v = F.when(F.col("p_partkey") % 3 > 0, F.col("p_size")).cast("long")
+    w, peers = Window.partitionBy("p_brand").orderBy("p_size").rangeBetween(-5, 5), Window.partitionBy("p_brand", "p_size")
+    cols = [W.excluded(k, a, v, w, peers).alias(f"{a}_{k}") for k in ("ties", "group") for a in ("sum", "count")]
+    return table(spark, d, "part").select("p_partkey", *cols, F.round(W.excluded("ties", "avg", v, w, peers), 9).alias("avg_ties"))
 
 
 @query(
