@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tessella.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("relational", "aggregates", "windows", "timeseries", "scalars")
+MODULES = ("relational", "aggregates", "windows", "timeseries", "scalars", "fn_text", "fn_math", "fn_dates", "fn_arrays", "fn_json", "fn_types", "fn_search", "vectors", "graphs", "sketches", "stores", "temporal", "udfs", "extras")
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
@@ -48,6 +48,40 @@ def statement(name: str, text: str, oracle: str | None = None) -> None:
     query(name, oracle or text)(run)
 
 
+def cases(name: str, source: str, oracle: str):
+    """Register expressions over the rows of a statement: the function gives name to Column, and is called
+    when the query runs, as Columns need a session."""
+
+    def put(f: Callable[[], dict]) -> Callable[[], dict]:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            views(spark, sf_dir, source)
+            return spark.sql(source).select(*[c.alias(k) for k, c in f().items()])
+
+        query(name, oracle)(run)
+        return f
+
+    return put
+
+
+def literal(v) -> str:
+    if v is None:
+        return "NULL"
+    if isinstance(v, bool):
+        return str(v).lower()
+    if isinstance(v, str):
+        return "'" + v.replace("'", "''") + "'"
+    if isinstance(v, float):
+        return f"{v!r}::DOUBLE"
+    if isinstance(v, list):
+        return "[" + ", ".join(map(literal, v)) + "]"
+    return str(v)
+
+
+def expect(columns: str, *rows: tuple) -> str:
+    """SQL of the rows themselves, for results that the dialect's manual states."""
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(literal, r)) + ')' for r in rows)}) AS t({columns})"
+
+
 def _load() -> None:
     for m in MODULES:
         importlib.import_module(f"tessella.plans.{m}")
