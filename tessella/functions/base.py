@@ -37,3 +37,10 @@ def strict(value: Column, *args: Column) -> Column:
     for a in args:
         some = some | col(a).isNull()
     return F.when(~some, value)
+
+
+def let(f: Callable[..., Column], *values: Column) -> Column:
+    """``f(*values)`` with each value computed once, however often ``f`` names it: expressions are trees, and steps that
+    build on each other would else grow by powers."""
+    row = F.struct(*[col(v).alias(f"v{i}") for i, v in enumerate(values)])
+    return F.get(F.transform(F.array(row), lambda r: f(*[r[f"v{i}"] for i in range(len(values))])), F.lit(0))
