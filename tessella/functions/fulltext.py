@@ -442,7 +442,7 @@ def _rewrite(q, old, new):
         flat, want = _flat(q, q[0]), _flat(old, q[0])
         if all(w in flat for w in want):
             rest = [x for x in flat if x not in want]
-            parts = ([new] if new is not None else []) + [_rewrite(x, old, new) for x in rest]
+            parts = [_rewrite(x, old, new) for x in rest] + ([new] if new is not None else [])
             out = None
             for p in parts:
                 out = _join(q[0], out, p)
@@ -453,7 +453,8 @@ def _rewrite(q, old, new):
         return _not(_rewrite(q[1], old, new))
     if q[0] == "<->":
         return _follow(q[1], _rewrite(q[2], old, new), _rewrite(q[3], old, new))
-    return _join(q[0], _rewrite(q[1], old, new), _rewrite(q[2], old, new))
+    a, b = _rewrite(q[1], old, new), _rewrite(q[2], old, new)
+    return _join(q[0], b, a) if a != q[1] and b == q[2] else _join(q[0], a, b)  # what is new comes last
 
 
 def _flat(q, op) -> list:
