@@ -508,11 +508,15 @@ def test_forest_scores_like_recursion():
 
 
 def test_quality_sample_is_bounded(spark):
-    """Rows without an id, or of one id, don't fall in the sample together beyond its size."""
+    """Rows without an id, or of one id, don't come to the driver together beyond the sample's size."""
     rows = spark.range(3000).selectExpr("cast(null as long) as doc_id", "'same text' as text")
-    assert quality._part(rows, ["doc_id", "text"], 100, 3000).count() <= 100
-    other = spark.range(3000).selectExpr("id as doc_id", "'t' as text")
-    assert quality._part(other, ["doc_id", "text"], 100, 3000).count() == 100
+    near = quality._near(rows, ["doc_id", "text"], 100, 3000).selectExpr("h", "0 as k", "text")
+    assert len(quality._collected(near, 100)[0]) <= 100
+    other = spark.range(3000).selectExpr("id as doc_id", "concat('t ', id) as text")
+    near = quality._near(other, ["doc_id", "text"], 100, 3000).selectExpr("h", "cast(doc_id as int) as k", "text")
+    got = quality._collected(near, 100)[0]
+    h = {r[0]: r[1] for r in other.selectExpr("doc_id", "pmod(xxhash64(doc_id, text), 1073741824)").collect()}
+    assert got.tolist() == sorted(h, key=h.get)[:100]
 
 
 def test_components(spark):
