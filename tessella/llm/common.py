@@ -83,12 +83,13 @@ def split_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner")
     """Join on a long key of which some values may be hot on the left.
 
     The key is flipped bit by bit on both sides, so that both are exchanged for this join
-    alone and adaptive execution may cut the partitions of a hot key into pieces.
+    alone and adaptive execution may cut the partitions of a hot key into pieces. Only the flipped
+    key travels; the key itself comes back behind the other columns.
     """
-    k = "__flipped"
-    a = left.withColumn(k, F.bitwise_not(F.col(key)))
+    k = free_name(left, "__flipped")
+    a = left.withColumn(k, F.bitwise_not(F.col(key))).drop(key)
     b = right.withColumn(k, F.bitwise_not(F.col(key))).drop(key)
-    return a.join(b, k, how).drop(k)
+    return a.join(b, k, how).withColumn(key, F.bitwise_not(F.col(k))).drop(k)
 
 
 def free_name(df: DataFrame, name: str) -> str:
