@@ -3,6 +3,11 @@
 Every stage takes (spark, docs, sf_dir) and works on all rows of ``docs``; all but the last
 return the columns of ``documents``. ``run`` writes what each stage returns and reads it again
 as the next one's ``docs``, so a stage that fails or loses executors starts from files.
+
+Defined results: null and empty texts fail the quality rules and go with the first stage; where a stage is given them, near-dedup
+keeps them, decontamination keeps them and mixing counts no words. Rows with a null id are judged as others, are linked with
+nothing, and share one coin and one shard address. Of rows that repeat an id with equal texts one stays. Columns besides those of
+documents pass through every stage, whatever their names. An empty table gives an empty table with the columns of the last stage.
 """
 
 from __future__ import annotations
