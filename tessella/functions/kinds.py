@@ -503,3 +503,99 @@ def random_bytes(n: int, seed: int, *key: Column) -> Column:
     return F.substring(F.unhex(F.concat(*[F.md5(F.concat_ws(":", F.lit(f"{seed}:{i}"), *[k.cast("string") for k in key])) for i in range((n + 15) // 16)])), F.lit(1), F.lit(n))
 
 
+
+
+# -- texts that compare without regard to case, measured intervals, dictionaries ----------------
+
+
+def citext(s: Column) -> Column:
+    """Compares, groups and joins without regard to case."""
+    return F.collate(s, "UNICODE_CI")
+
+
+
+def _seg(s: str) -> dict:
+    s = s.replace("'+-'", "(+-)")
+    m = re.match(r"\s*[<>~]?\s*([+-]?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)?\s*(\.\.\.?|\(\+-\))?\s*[<>~]?\s*([+-]?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)?\s*$", s)
+    if not m or (m[1] is None and m[3] is None):
+        raise ValueError(f"bad seg representation {s!r}")
+    a, b = (float(x) if x else None for x in (m[1], m[3]))
+    if m[2] == "(+-)":
+        return {"lo": a - b, "hi": a + b}
+    if not m[2]:
+        return {"lo": a, "hi": a}
+    return {"lo": a, "hi": b}
+
+
+seg = rowwise(_seg, T.StructType([T.StructField("lo", T.DoubleType()), T.StructField("hi", T.DoubleType())]))
+
+
+def seg_overlaps(a: Column, b: Column) -> Column:
+    return F.coalesce(a["lo"] <= b["hi"], F.lit(True)) & F.coalesce(b["lo"] <= a["hi"], F.lit(True))
+
+
+def seg_contains(a: Column, b: Column) -> Column:
+    return F.coalesce(a["lo"] <= b["lo"], a["lo"].isNull()) & F.coalesce(a["hi"] >= b["hi"], a["hi"].isNull())
+
+
+def dict_int(token: Column, most: int = 6, reject_long: bool = False, absolute: bool = False) -> Column:
+    """Numbers as lexemes: long ones are cut, or are stop words."""
+    t = F.regexp_replace(token, r"^[+-]", "") if absolute else token
+    return F.when(F.length(t) <= most, F.array(t)).otherwise(F.array().cast("array<string>") if reject_long else F.array(F.substring(t, 1, most)))
+
+
+def dict_synonyms(token: Column, table: dict[str, list[str]], keep: bool = True) -> Column:
+    """A word's synonyms, itself first where kept; a word without any is left to the next dictionary (null)."""
+    m = F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.lit(([k] if keep else []) + v))])
+    return F.try_element_at(m, F.lower(token))
+
+
+def dict_simple(token: Column, stop: list[str], accept: bool = True) -> Column:
+    t = F.lower(token)
+    return F.when(t.isin(*stop), F.array().cast("array<string>")).when(F.lit(accept), F.array(t))
+
+
+def dict_affixes(token: Column, words: list[str], suffixes: list[tuple[str, str]]) -> Column:
+    """Base forms by rules (ending, what stands for it) that lead to known words."""
+    t = F.lower(token)
+    forms = F.array(t, *[F.when(F.endswith(t, F.lit(a)), F.concat(F.substring(t, F.lit(1), F.length(t) - len(a)), F.lit(b))) for a, b in suffixes])
+    got = F.array_distinct(F.filter(forms, lambda f: f.isNotNull() & f.isin(*words)))
+    return F.when(F.size(got) > 0, got)
+
+
+def xmltable(s: Column, row_path: str, columns: dict[str, tuple[str, str]]) -> Column:
+    """Array of structs, one for each element of ``row_path``: name to (type, path), ``@name`` for attributes, ``ordinality`` to count."""
+
+    def f(text: str) -> list[dict]:
+        import xml.etree.ElementTree as E
+
+        root = E.fromstring(text)
+        path = row_path.strip("/").split("/", 1)
+        found = root.findall(path[1]) if len(path) > 1 and path[0] == root.tag else [root] if path == [root.tag] else []
+        out = []
+        for i, e in enumerate(found):
+            row = {}
+            for n, (t, p) in columns.items():
+                if t == "ordinality":
+                    row[n] = str(i + 1)
+                elif p.startswith("@"):
+                    row[n] = e.get(p[1:])
+                elif p == ".":
+                    row[n] = "".join(e.itertext())
+                else:
+                    x = e.find(p)
+                    row[n] = None if x is None else "".join(x.itertext())
+            out.append(row)
+        return out
+
+    rows = rowwise(f, T.ArrayType(T.StructType([T.StructField(n, STRING) for n in columns])))(s)
+    return F.transform(rows, lambda r: F.struct(*[r[n].try_cast("long" if t == "ordinality" else t).alias(n) for n, (t, _) in columns.items()]))
+
+
+def int_array_aggregate(x: Column, *by: Column) -> Column:
+    rows = F.sort_array(F.collect_list(F.struct(*[b.alias(f"k{i}") for i, b in enumerate(by)], x.alias("x"))))
+    return F.transform(rows, lambda r: r["x"])
+
+
+def int_array_enum(a: Column) -> Column:
+    return F.explode(a)

@@ -58,6 +58,7 @@ def top_k(df: DataFrame, value: str, k: int, counters: int | None = None) -> Dat
 
     def part(batches):
         import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_type
 
         held: dict = {}
         for b in batches:
@@ -75,7 +76,7 @@ def top_k(df: DataFrame, value: str, k: int, counters: int | None = None) -> Dat
                     held[v] = [floor + 1, floor]
         if held:
             keys = list(held)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([held[x][0] for x in keys], pa.int64()), pa.array([held[x][1] for x in keys], pa.int64())], names=["item", "n", "error"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, to_arrow_type(kind)), pa.array([held[x][0] for x in keys], pa.int64()), pa.array([held[x][1] for x in keys], pa.int64())], names=["item", "n", "error"])
 
     schema = T.StructType([*item.fields, T.StructField("error", T.LongType())])
     parts = df.select(value).mapInArrow(part, schema)
