@@ -74,18 +74,18 @@ def test_continuous_aggregate(spark):
 def test_late_rows_are_left_out(spark):
     path = scratch(spark, "late")
     at = lambda m: dt.datetime(2024, 1, 1, 0, 0) + dt.timedelta(minutes=m)
-    for i, part in enumerate([[1, 2], [75], [3, 80], [200]]):
+    for i, part in enumerate([[1, 2], [75], [76], [3, 80], [200]]):
         spark.createDataFrame([(at(m),) for m in part], "ts timestamp").coalesce(1).write.mode("append").parquet(f"{path}/{i}")
     import os
     import time
 
-    for i in range(4):
+    for i in range(5):
         for name in os.listdir(f"{path}/{i}"):
             if name.endswith(".parquet"):
                 os.utime(f"{path}/{i}/{name}", (time.time() - 100 + i * 10,) * 2)
     s = streams.tumbling(streams.file_stream(spark, f"{path}/*", "ts timestamp", 1), "ts", "1 hour", "10 minutes", [], {"n": F.count(F.lit(1))})
     got = spark.read.schema(s.schema).parquet(streams.run_to_end(s, "append", "late"))
-    assert sorted(x["n"] for x in got.collect()) == [2, 2]  # 1 and 2, 75 and 80; 3 came too late, 200 is still open
+    assert sorted(x["n"] for x in got.collect()) == [2, 3]  # 1 and 2; 75, 76 and 80; 3 came too late, 200 is still open
 
 
 def test_recursive_union_and_reach(spark):
