@@ -15,8 +15,6 @@ table gives an empty table. Columns of the input stay with ``judge``; its own ge
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
