@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 
 from tessella.functions.base import BINARY, BOOL, INT, STRING, col, rowwise
+from tessella.session import materialize
 
 # -- key-value maps: map<string,string> columns -------------------------------------------------
 
@@ -468,7 +469,7 @@ def current_setting(spark: SparkSession, name: str, missing_ok: bool = False) ->
     return F.lit(spark.conf.get(name, None) if missing_ok else spark.conf.get(name))
 
 
-def pg_typeof(c: Column) -> Column:
+def value_type(c: Column) -> Column:
     return F.typeof(c)
 
 
@@ -488,7 +489,8 @@ def sequence_values(df, name: str, order: list[str], start: int = 1, increment:
 
     part, n = "__part", "__n"
     dealt = df.repartitionByRange(*order).withColumn(part, F.spark_partition_id())
-    dealt = dealt.withColumn(n, F.row_number().over(Window.partitionBy(part).orderBy(*order)))
+    # written once: where ranges begin is sampled, and both uses must agree on it
+    dealt = materialize(dealt.withColumn(n, F.row_number().over(Window.partitionBy(part).orderBy(*order))), "sequence")
     counts = dealt.groupBy(part).agg(F.count(F.lit(1)).alias("__c"))
     before = counts.withColumn("__before", F.coalesce(F.sum("__c").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__c")
     return dealt.join(F.broadcast(before), part).withColumn(name, (F.col("__before") + F.col(n) - 1) * increment + start).drop(part, n, "__before")

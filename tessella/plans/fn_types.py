@@ -193,7 +193,7 @@ def table_to_xml(spark, d):
 def session(spark, d):
     K.set_config(spark, "tessella.test", "on")
     f = F.lit
-    return spark.range(1).select(K.current_setting(spark, "tessella.test").alias("s"), K.current_setting(spark, "tessella.none", True).cast("string").alias("m"), K.pg_typeof(f(1)).alias("t"), K.input_is_valid(f("42"), "int").alias("v"), K.input_is_valid(f("4x"), "int").alias("b"), K.column_size(f("abc")).alias("n"))
+    return spark.range(1).select(K.current_setting(spark, "tessella.test").alias("s"), K.current_setting(spark, "tessella.none", True).cast("string").alias("m"), K.value_type(f(1)).alias("t"), K.input_is_valid(f("42"), "int").alias("v"), K.input_is_valid(f("4x"), "int").alias("b"), K.column_size(f("abc")).alias("n"))
 
 
 @query("fn_sequence", "SELECT o_orderkey, 100 + 5 * (row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1) AS v FROM orders")
