@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tessella.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("relational", "aggregates", "windows", "timeseries", "scalars", "fn_text", "fn_math", "fn_dates", "fn_arrays", "fn_json", "fn_types", "fn_search", "vectors", "graphs", "sketches", "stores", "temporal", "udfs", "extras", "more")
+MODULES = ("relational", "aggregates", "windows", "timeseries", "scalars", "fn_text", "fn_math", "fn_dates", "fn_arrays", "fn_json", "fn_types", "fn_search", "vectors", "graphs", "sketches", "stores", "temporal", "udfs", "extras", "more", "structures")
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
