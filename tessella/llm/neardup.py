@@ -366,6 +366,18 @@ def _unpack(members):
     return (*(np.array([m[c] for m in members], np.int64) for c in ("rep", "comp", "n")), reg)
 
 
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[p + 1:p + 3], ' ') AS sh FROM (SELECT doc_id, w, unnest(range(0, greatest(len(w) - 2, 1))) AS p FROM d WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS MATERIALIZED (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * m >= 85 * (x.n + y.n - m)),
+ends AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(v, c) AS (SELECT doc_id, doc_id FROM d UNION SELECT e.b, r.c FROM reach r JOIN ends e ON e.a = r.v WHERE r.c < e.b)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(c) AS component_id, min(c) = d.doc_id AS kept FROM d LEFT JOIN n USING (doc_id) JOIN reach ON v = d.doc_id GROUP BY d.doc_id, n.n
+"""
+
+
 def op5_neardup(spark, sf_dir: str) -> DataFrame:
     from tessella.session import table
 

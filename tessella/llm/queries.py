@@ -20,6 +20,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op2_mixing": mixing.ORACLE,
     "op3_secrets": secrets.ORACLE,
+    "op5_neardup": neardup.ORACLE,
     "op7_decontam": decontam.ORACLE,
     "op9_sharding": sharding.ORACLE,
 }
