@@ -31,12 +31,12 @@ def _():
     return {"p_partkey": c("p_partkey"), "i": A.generate_subscripts(c("a"))}
 
 
-@cases("fn_arr_shape", "SELECT array(array(1, 2, 3), array(4, 5, 6)) AS d, array(1, NULL, 2, NULL) AS n, CAST(array() AS array<int>) AS e", expect("dims, nd, l, u, lo, card, empty_len, empty_dims, fill, nulls, gone, cat, js", ("[1:2][1:3]", 2, 2, 3, 1, 6, None, None, "[[7,7],[7,7],[7,7]]", [2, 4], [1, 2], [1, None, 2, None], "[[1,2,3],[4,5,6]]")))
+@cases("fn_arr_shape", "SELECT array(array(1, 2, 3), array(4, 5, 6)) AS d, array(1, NULL, 2, NULL) AS n, CAST(array() AS array<int>) AS e", expect("dims, nd, l, u, lo, card, empty_len, empty_dims, fill, nulls, gone, cat, js", ("[1:2][1:3]", 2, 2, 3, 1, 6, None, None, "[[7,7],[7,7],[7,7]]", [2, 4], [1, 2], "[1,null,2,null]", "[[1,2,3],[4,5,6]]")))
 def _():
     d, n, e = c("d"), c("n"), c("e")
     return {
         "dims": A.array_dims(d, DEEP), "nd": A.array_ndims(d, DEEP), "l": A.array_length(d), "u": A.array_upper(d, 2), "lo": A.array_lower(d), "card": A.cardinality(d, DEEP), "empty_len": A.array_length(e), "empty_dims": A.array_dims(e, INTS),
-        "fill": F.to_json(A.array_fill(7, [3, 2])), "nulls": A.array_positions(n, None), "gone": A.array_remove(n, None), "cat": A.array_cat(n, F.lit(None).cast("array<int>")), "js": F.to_json(d),
+        "fill": F.to_json(A.array_fill(7, [3, 2])), "nulls": A.array_positions(n, None), "gone": A.array_remove(n, None), "cat": F.to_json(A.array_cat(n, F.lit(None).cast("array<int>"))), "js": F.to_json(d),
     }
 
 
