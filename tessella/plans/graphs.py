@@ -10,7 +10,7 @@ from tessella.session import table
 
 EDGES = "(VALUES (1, 2, 1.0), (2, 3, 1.0), (1, 3, 2.0), (3, 4, 0.5), (4, 2, 1.0), (4, 5, 3.0), (3, 5, 3.5), (6, 1, 1.0), (5, 1, 9.0))"
 WALKS = f"WITH RECURSIVE g(node_id, depth, path) AS (SELECT 1, 0, [1] UNION ALL SELECT e.d, depth + 1, list_append(path, e.d) FROM g JOIN {EDGES} AS e(s, d, w) ON e.s = node_id WHERE NOT list_contains(path, e.d) AND depth < 100) SELECT node_id, depth, path FROM g"
-MAILS = "SELECT c_custkey AS src, (c_custkey * 7 + 3) % (SELECT count(*) FROM customer) + 1 AS dst FROM customer UNION ALL SELECT c_custkey, c_custkey % 97 + 1 FROM customer"
+MAILS = "SELECT c_custkey AS src, unnest([(c_custkey * 2) % n + 1, (c_custkey * 2 + 1) % n + 1]) AS dst FROM customer, (SELECT count(*) AS n FROM customer)"
 
 
 def edges(spark):
@@ -43,8 +43,8 @@ def graph_shortest_path_to(spark, d):
 def mails(spark, d):
     c = table(spark, d, "customer").select("c_custkey")
     n = c.agg(F.count(F.lit(1)).alias("n"))
-    first = c.crossJoin(F.broadcast(n)).select(F.col("c_custkey").alias("src"), ((F.col("c_custkey") * 7 + 3) % F.col("n") + 1).alias("dst"))
-    return first.unionByName(c.select(F.col("c_custkey").alias("src"), (F.col("c_custkey") % 97 + 1).alias("dst")))
+    ends = F.array((F.col("c_custkey") * 2) % F.col("n") + 1, (F.col("c_custkey") * 2 + 1) % F.col("n") + 1)
+    return c.crossJoin(F.broadcast(n)).select(F.col("c_custkey").alias("src"), F.explode(ends).alias("dst"))
 
 
 @query("graph_reach", f"WITH RECURSIVE e AS ({MAILS}), r(node_id, depth) AS (SELECT 5::BIGINT, 0 UNION SELECT e.dst, depth + 1 FROM r JOIN e ON e.src = node_id WHERE depth < 25) SELECT node_id, min(depth)::INT AS depth FROM r GROUP BY 1")
