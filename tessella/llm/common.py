@@ -49,7 +49,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _drop(spark: SparkSession, base: str) -> None:
+def discard(df: DataFrame) -> None:
+    """Delete a table of ``materialize`` that nothing reads any more, so that it takes no disk beside what follows."""
+    files = df.inputFiles()
+    if files:
+        _drop(df.sparkSession, df.sparkSession.sparkContext._jvm.java.net.URI(files[0].rsplit("/", 1)[0]))
+
+
+def _drop(spark: SparkSession, base) -> None:
     try:
         jvm = spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(base)

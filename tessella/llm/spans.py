@@ -12,7 +12,9 @@ least id, at its first place there.
 Repeats within a document are found beside its text. Each other span is counted once a document;
 the least ids are found where texts are read before rows are dealt by hash, so a passage that a third of all
 documents share comes to its reducer as one row per task, and its occurrences meet the result in a
-join whose hot partitions can be cut.
+join whose hot partitions can be cut. Only spans that may repeat travel to that join: those whose hash finds its bit
+set among the bits of all repeated hashes, of which there are ``MOST_BITS`` at most. A bit too many costs a row
+in the join, which decides.
 
 Defined results: null text stays null and has no sentences; texts of less than a span stay
 as they are; rows with one id count as one document, so repeated rows all keep what the first
@@ -30,9 +32,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.llm import textvec
-from tessella.llm.common import free_name, materialize, split_join
+from tessella.llm.common import discard, free_name, materialize, split_join
 
 LEAST_SENTENCES, LEAST_WORDS, PIECE = 3, 25, 12
+#: Bits of a set of hashes, 16 for each up to this many (16 MiB).
+MOST_BITS = 1 << 27
 _STOP = np.zeros(256, bool)
 _STOP[list(b".!?")] = True
 _U = np.uint64
@@ -110,6 +114,29 @@ def _span_rows(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(k)) for c, k in zip(cols, kinds)], names=["h", "id", "row", "a", "b", "again"])
 
 
+def bits_of(hashes: DataFrame) -> np.ndarray:
+    """Words of 64 bits in which every h of ``hashes`` has its bit set."""
+    words = 1 << (max(1 << 10, min(MOST_BITS, 16 * hashes.count()) // 64) - 1).bit_length()
+    word, bit = F.shiftright("h", 6).bitwiseAND(F.lit(words - 1)), F.expr("shiftleft(1L, cast(h & 63 AS int))")
+    got = hashes.groupBy(word.alias("w")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    out = np.zeros(words, _U)
+    out[got.column(0).to_numpy()] = got.column(1).to_numpy().view(_U)
+    return out
+
+
+def may_hold(rows: DataFrame, bits: np.ndarray) -> DataFrame:
+    """The rows whose h, the first column, finds its bit set."""
+    held = rows.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches):
+        for batch in batches:
+            h = batch.column(0).to_numpy()
+            word = held.value[(h >> 6) & (len(held.value) - 1)]
+            yield batch.filter(pa.array((word >> (h & 63).astype(_U)) & _U(1) != 0))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def repeated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(key, spans): by a hash of id and text, the (a, b) of sentences that an earlier document
     has, or an earlier place of the same one."""
@@ -117,9 +144,11 @@ def repeated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), late).alias("id"), F.xxhash64(F.col(doc_id), F.col(text).cast("string")).alias("row"), F.col(text).cast("string").alias("text"))
     spans = materialize(rows.mapInArrow(_span_rows, "h long, id long, row long, a int, b int, again boolean"), "spans")
     once = spans.filter("not again").drop("again")
-    per = once.groupBy("h").agg(F.min("id").alias("id0"), F.max("id").alias("id1")).filter("id0 < id1").select("h", "id0")
-    hit = split_join(once, per, "h").filter("id > id0").select("row", "a", "b").unionByName(spans.filter("again").select("row", "a", "b"))
-    return hit.groupBy(F.col("row").alias("key")).agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    per = materialize(once.groupBy("h").agg(F.min("id").alias("id0"), F.max("id").alias("id1")).filter("id0 < id1").select("h", "id0"), "firsts")
+    hit = split_join(may_hold(once, bits_of(per)), per, "h").filter("id > id0").select("row", "a", "b").unionByName(spans.filter("again").select("row", "a", "b"))
+    known = materialize(hit.groupBy(F.col("row").alias("key")).agg(F.collect_set(F.struct("a", "b")).alias("spans")), "repeats")
+    discard(spans), discard(per)
+    return known
 
 
 def cut(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
@@ -137,7 +166,7 @@ def cut(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
 def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``docs`` with the text cut, and n_removed."""
     key = F.xxhash64(F.col(doc_id), F.col(text).cast("string"))
-    known = materialize(repeated(docs, text, doc_id), "repeats")
+    known = repeated(docs, text, doc_id)
     mark, held = free_name(docs, "__key"), free_name(docs, "__spans")
     joined = docs.withColumn(mark, key).join(known.select(F.col("key").alias(mark), F.col("spans").alias(held)), mark, "left")
     name, at = free_name(docs, "n_removed"), docs.columns.index(text)

@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessella.llm import html_extract, mixing, quality, secrets, sharding, spans, tokens, urls
 from tessella.llm.decontam import Decontamination
@@ -356,6 +357,37 @@ def test_spans_find_passages(spark):
     assert sorted(x["n_removed"] > 0 for x in spans.deduplicate(nulls).collect()) == [False, True]
 
 
+def shuffled_rows(spark):
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_spans_that_repeat_nowhere_travel_once(spark, request):
+    """Every span is counted; only those that may repeat are dealt out again to meet the count, where no side is small."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.autoBroadcastJoinThreshold"))
+    texts = [prose(400, 7000 + i) for i in range(200)] + [prose(400, 7000)]
+    n = sum(len(spans.found(t.encode())[2]) for t in texts)
+    before = shuffled_rows(spark)
+    got = {x["doc_id"]: x["n_removed"] for x in spans.deduplicate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert {i for i in got if got[i]} == {200}
+    assert n > 10_000 and shuffled_rows(spark) - before < 1.2 * n
+
+
+def test_spans_bits(spark, monkeypatch):
+    """Every hash of the set passes, few others do; bits that hold too many hashes change no result."""
+    rows = spark.range(20_000).select(F.xxhash64("id").alias("h"), "id")
+    kept = {r["id"] for r in spans.may_hold(rows, spans.bits_of(rows.filter("id < 4000"))).collect()}
+    assert set(range(4000)) <= kept and len(kept) < 4000 + 0.1 * 16_000
+    assert spans.may_hold(rows, spans.bits_of(rows.filter("false"))).count() == 0
+    monkeypatch.setattr(spans, "MOST_BITS", 1 << 16)
+    texts = [(i, f"{prose(200, 7500 + i)} {PASSAGE} {prose(200, 7300 + i % 90)}") for i in range(120)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    assert {x["doc_id"]: x["n_removed"] for x in spans.deduplicate(docs).collect()} == brute_cut(dict(texts))
+
+
 def test_decontamination_all_windows(spark):
     """Against every window of the item's size in every document, and windows cut at the ends."""
     r = random.Random(17)
