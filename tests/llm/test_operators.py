@@ -539,6 +539,67 @@ def test_forest_scores_like_recursion():
     assert forest.score(x).argmax() == 300
 
 
+def test_quality_fits_on_every_row(spark, monkeypatch):
+    """One odd row among 3,000 sets cuts, and thresholds are the best ones over all labelled rows, whatever samples were bounded to."""
+    import numpy as np
+
+    monkeypatch.setattr(quality, "SAMPLE", 64, raising=False)
+    monkeypatch.setattr(quality, "LABELLED", 64, raising=False)
+    r = random.Random(8)
+    texts = [prose(r.randint(25, 60), 9000 + i) for i in range(3000)]
+    bad = set(range(7, 3000, 150))
+    for i in bad:
+        texts[i] = " ".join(x + "#$" * r.randint(1, 4) for x in texts[i].split())
+    texts[100] = " ".join("y" * 300 + str(i) for i in range(30))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rules = quality.fit(docs, spark.createDataFrame([(i, int(i not in bad)) for i in range(3000)], "doc_id long, quality int"))
+    x = quality.features(np.array([quality.text_stats(t.encode()) for t in texts]))
+    most = np.delete(x[:, 0], 100).max()
+    assert any((f == 0).any() and c[f == 0].max() > most for f, c, _, _ in rules.forests["lengths"].trees)
+    good, left = np.array([i not in bad for i in range(3000)]), np.ones(3000, bool)
+    for g, s in rules.scores(x).items():
+        cell, best = np.ceil(s * quality.GRID), (0.0, None)
+        for c in np.unique(cell[left]):
+            lost, caught = (cell[left & good] > c).sum() / (left & good).sum(), (cell[left & ~good] > c).sum() / max(1, (left & ~good).sum())
+            if lost <= quality.MOST_LOST and caught >= 20 * lost and caught > 0 and caught - lost > best[0]:
+                best = caught - lost, c
+        gone = left & (s > rules.cuts[g])
+        assert gone.tolist() == (left & (cell > (best[1] if best[1] is not None else np.inf))).tolist()
+        left &= ~gone
+    assert not left[sorted(bad)].any()
+    again = quality.fit(docs, None)
+    assert all(np.array_equal(a, b) for g in quality.GROUPS for s, t in zip(rules.forests[g].trees, again.forests[g].trees) for a, b in zip(s, t))
+
+
+def test_quality_growth_reaches_every_row():
+    """Against a plain descent: every row is in one tree of each forest or more, leaves hold all rows, cuts lie within ranges."""
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    x, h = r.normal(size=(900, 7)), r.integers(-(2**62), 2**62, 900)
+    for trees, psi in ((8, 32), (8, 256), (4, 2000)):
+        g = quality.Growth(900, trees, psi)
+        for level in range(g.height + 1):
+            g.step(level, *g.ranges(x, h))
+        assert (g.feature != -2).all()
+        forests = g.forests()
+        for i, (name, columns) in enumerate(quality.GROUPS.items()):
+            total = 0
+            for t, (feature, cut, child, depth) in enumerate(forests[name].trees):
+                todo = [(0, np.flatnonzero((t - h % trees) % trees < g.each), 0)]
+                total += len(todo[0][1])
+                while todo:
+                    at, rows, level = todo.pop()
+                    if feature[at] < 0:
+                        assert np.isclose(depth[at], level + quality._c(len(rows)))
+                        assert level == g.height or len(rows) < 2
+                        continue
+                    v = x[rows, columns[feature[at]]]
+                    assert v.min() <= cut[at] < v.max()
+                    todo += [(child[at], rows[v <= cut[at]], level + 1), (child[at] + 1, rows[v > cut[at]], level + 1)]
+            assert total == 900 * g.each and g.each >= 1
+
+
 def test_quality_sample_is_bounded(spark):
     """Rows without an id, or of one id, don't come to the driver together beyond the sample's size."""
     rows = spark.range(3000).selectExpr("cast(null as long) as doc_id", "'same text' as text")
