@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import fulltext, jsonb, jsonpath
 from tessella.operators import collections, graphs, joins, sketches, timeseries, vectors, windows
+from tessella.plans import registry
 from tessella.session import scratch
 from tessella.sources import files, tables
 from tessella.streaming import windows as streams
@@ -35,6 +36,14 @@ def test_asof_join_nulls(spark):
     assert joins.asof_join(left, right.limit(0), ["k"], "t", ["v"]).count() == 5
 
 
+@pytest.mark.parametrize("name, column, sketch", [("approx_distinct_lineitem", "l_partkey", "approx_count_distinct"), ("sketch_hll", "user_id", "hll_sketch_agg")])
+def test_no_sketch_per_distinct_value(spark, name, column, sketch):
+    plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    aggregates = [line.split("functions=") for line in plan.splitlines() if "Aggregate(" in line]
+    assert any(column in keys for keys, _ in aggregates) and any(sketch in functions for _, functions in aggregates)
+    assert not any(column in keys and sketch in functions for keys, functions in aggregates)
+
+
 def test_salted_join(spark):
     a, b = spark.createDataFrame([(1, "p"), (1, "q"), (2, "r")], "k int, x string"), spark.createDataFrame([(1, 10), (3, 30)], "k int, y int")
     assert rows(joins.salted_join(a, b, ["k"], 3)) == rows(a.join(b, "k")) and rows(joins.salted_join(a, b, ["k"], 3, "left")) == rows(a.join(b, "k", "left"))
