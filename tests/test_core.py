@@ -36,6 +36,31 @@ def test_asof_join_nulls(spark):
     assert joins.asof_join(left, right.limit(0), ["k"], "t", ["v"]).count() == 5
 
 
+def test_nearest_blocks_and_nulls(spark):
+    r = random.Random(5)
+    base = [(i, [float(r.randint(0, 3)), float(r.randint(0, 3))]) for i in range(60)] + [(60, None), (61, [1.0, None]), (62, [1e200, 0.0])]
+    asked = [(i, [r.uniform(0, 3), float(r.randint(0, 3))]) for i in range(10_001)] + [(10_001, None)]
+    e = spark.createDataFrame(base, "vec_id long, embedding array<double>")
+    q = spark.createDataFrame(asked, "query_id long, query_vector array<double>")
+    got = {}
+    for i, v, d, n in vectors.nearest(e, q, 62).collect():
+        got.setdefault(i, {})[n] = (v, d)
+    assert len(got) == 10_002 and all(len(x) == 62 for x in got.values())
+    for i, y in asked[::500] + asked[-1:]:
+        d = [(v, None if y is None or x is None or None in x else ((x[0] - y[0]) * (x[0] - y[0]) + (x[1] - y[1]) * (x[1] - y[1])) ** 0.5 if x[0] < 1e9 else float("inf")) for v, x in base]
+        assert [got[i][n] for n in range(1, 63)] == sorted(d, key=lambda t: (t[1] is None, t[1] or 0, t[0]))[:62]
+
+
+def test_inverted_lists_are_exact_without_probes(spark):
+    r = random.Random(6)
+    e = spark.createDataFrame([(i, [r.gauss(i % 3 * 2, 1) for _ in range(6)]) for i in range(900)], "vec_id long, embedding array<double>")
+    q = e.filter("vec_id % 9 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    lists = vectors.InvertedLists(e, lists=60)
+    index, exact = lists.assign(e), vectors.nearest(e, q, 10)
+    assert rows(lists.search(index, q, 10)) == rows(exact)
+    assert 0.2 < vectors.recall(lists.search(index, q, 10, 3), exact) < 1
+
+
 @pytest.mark.parametrize("name, column, sketch", [("approx_distinct_lineitem", "l_partkey", "approx_count_distinct"), ("sketch_hll", "user_id", "hll_sketch_agg")])
 def test_no_sketch_per_distinct_value(spark, name, column, sketch):
     plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
