@@ -13,17 +13,26 @@ from tessella.session import table
 
 c = F.col
 
-PAIRS = "SELECT a.s_suppkey AS k, least(a.s_suppkey % 20, b.s_suppkey % 17) AS al, greatest(a.s_suppkey % 20, b.s_suppkey % 17) AS ah, b.s_suppkey % 13 AS bl, b.s_suppkey % 13 + a.s_suppkey % 7 AS bh, b.s_suppkey AS j FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey"
 SQL_PAIRS = "(SELECT a.s_suppkey AS k, least(a.s_suppkey % 20, b.s_suppkey % 17) AS al, greatest(a.s_suppkey % 20, b.s_suppkey % 17) AS ah, b.s_suppkey % 13 AS bl, b.s_suppkey % 13 + a.s_suppkey % 7 AS bh, b.s_suppkey AS j FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey)"
 
 
-@cases("fn_range_operators", PAIRS, f"""SELECT k, j, al = ah AS e, (bl = bh OR (al < ah AND al <= bl AND ah >= bh)) AS c, (al < ah AND bl < bh AND al < bh AND bl < ah) AS o, (al < ah AND bl < bh AND ah <= bl) AS l, (al < ah AND bl < bh AND (ah = bl OR bh = al)) AS adj,
+@query("fn_range_operators", f"""SELECT k, j, al = ah AS e, (bl = bh OR (al < ah AND al <= bl AND ah >= bh)) AS c, (al < ah AND bl < bh AND al < bh AND bl < ah) AS o, (al < ah AND bl < bh AND ah <= bl) AS l, (al < ah AND bl < bh AND (ah = bl OR bh = al)) AS adj,
     (al < ah AND 5 >= al AND 5 < ah) AS has, CASE WHEN al < ah AND bl < bh AND al < bh AND bl < ah THEN '[' || greatest(al, bl) || ',' || least(ah, bh) || ')' ELSE 'empty' END AS i,
     CASE WHEN al = ah AND bl = bh THEN 'empty' WHEN al = ah THEN '[' || bl || ',' || bh || ')' WHEN bl = bh THEN '[' || al || ',' || ah || ')' ELSE '[' || least(al, bl) || ',' || greatest(ah, bh) || ')' END AS m,
     (al < ah AND bl < bh AND ah <= bh) AS nr, (al < ah AND bl < bh AND al >= bl) AS nl FROM {SQL_PAIRS}""")
-def _():
+def range_operators(spark, d):
+    """Pairs grow with the square of a nation's suppliers. They are made where the left rows are, and these are dealt to all cores;
+    the operators run once for each pair of ranges that differ: 20 * 7 * 17 * 13 at most, however many suppliers."""
+    s = table(spark, d, "supplier").select(c("s_suppkey").alias("k"), "s_nationkey")
+    left, right = s.select("k", "s_nationkey", (c("k") % 20).alias("k20"), (c("k") % 7).alias("k7")), s.select(c("k").alias("j"), "s_nationkey", (c("k") % 17).alias("j17"), (c("k") % 13).alias("j13"))
+    ends = [F.least("k20", "j17").alias("al"), F.greatest("k20", "j17").alias("ah"), c("j13").alias("bl"), (c("j13") + c("k7")).alias("bh")]
+    pairs = left.repartition(4 * max(2, spark.sparkContext.defaultParallelism), "k").join(F.broadcast(right), "s_nationkey").select("k", "j", *ends)
     a, b = R.range_(c("al"), c("ah"), step=1), R.range_(c("bl"), c("bh"), step=1)
-    return {"k": c("k"), "j": c("j"), "e": R.isempty(a), "c": R.contains(a, b), "o": R.overlaps(a, b), "l": R.left_of(a, b), "adj": R.adjacent(a, b), "has": R.contains_elem(a, 5), "i": R.text(R.intersection(a, b)), "m": R.text(R.merge(a, b)), "nr": R.not_right(a, b), "nl": R.not_left(a, b)}
+    out = {"e": R.isempty(a), "c": R.contains(a, b), "o": R.overlaps(a, b), "l": R.left_of(a, b), "adj": R.adjacent(a, b), "has": R.contains_elem(a, 5), "i": R.text(R.intersection(a, b)), "m": R.text(R.merge(a, b)), "nr": R.not_right(a, b), "nl": R.not_left(a, b)}
+    kinds = left.select("k20", "k7").distinct().crossJoin(F.broadcast(right.select("j17", "j13").distinct())).select(*ends).distinct()
+    kinds = kinds.select(*[c(n).alias(f"_{n}") for n in ("al", "ah", "bl", "bh")], *[v.alias(n) for n, v in out.items()])
+    same = [c(n).eqNullSafe(c(f"_{n}")) for n in ("al", "ah", "bl", "bh")]
+    return pairs.join(F.broadcast(kinds), same[0] & same[1] & same[2] & same[3]).select("k", "j", *out)
 
 
 @cases("fn_range_bounds", "SELECT 1", expect("i4, n, inf, e, d, lo, hi, li, ui, lf, uf, un, df, adj", ("[2,6)", "(1.5,2.5]", "(,5)", "empty", "[2024-01-01,2024-02-01)", 2, 6, True, False, True, True, "[1,9)", "[1,4)", True)))

@@ -61,6 +61,14 @@ def test_inverted_lists_are_exact_without_probes(spark):
     assert 0.2 < vectors.recall(lists.search(index, q, 10, 3), exact) < 1
 
 
+def test_range_operators_run_on_all_cores(spark, tmp_path):
+    """One file of suppliers is many pairs: they must not come from one task."""
+    spark.range(1000).selectExpr("id AS s_suppkey", "CAST(id % 2 AS int) AS s_nationkey").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    df = registry.queries()["fn_range_operators"](spark, str(tmp_path))
+    dealt = df.groupBy(F.spark_partition_id()).count().collect()
+    assert len(dealt) >= 8 and sum(r[1] for r in dealt) == 500_000 and max(r[1] for r in dealt) < 100_000
+
+
 @pytest.mark.parametrize("name, column, sketch", [("approx_distinct_lineitem", "l_partkey", "approx_count_distinct"), ("sketch_hll", "user_id", "hll_sketch_agg")])
 def test_no_sketch_per_distinct_value(spark, name, column, sketch):
     plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
