@@ -36,6 +36,12 @@ def test_asof_join_nulls(spark):
     assert joins.asof_join(left, right.limit(0), ["k"], "t", ["v"]).count() == 5
 
 
+def test_salted_join_holds_no_side_whole(spark):
+    a, b = spark.range(100).selectExpr("id AS k", "id AS x"), spark.range(10).selectExpr("id AS k", "id AS y")
+    plan = joins.salted_join(a, b, ["k"], 4)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_nearest_blocks_and_nulls(spark):
     r = random.Random(5)
     base = [(i, [float(r.randint(0, 3)), float(r.randint(0, 3))]) for i in range(60)] + [(60, None), (61, [1.0, None]), (62, [1e200, 0.0])]
